@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .json_tail import split_json_tail
 from .levels import level_code
 from .text import as_col, clip, trim_blanks
 
 # Line formats. (?d) makes "." stop at \n only; (?U) makes classes Unicode-aware.
-RECORD_HEADER = r"\A\[\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d+[^\]]*\]\s+\w+\.\w+:\s+"
-RFC3339 = r"\A\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d+(?:Z|[+-]\d{2}:\d{2})\z"
+RECORD_HEADER = r"\A\s*+\[\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d+[^\]]*\]\s+\w+\.\w+:\s+"
 CARRIED_TIME = r"\A\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\]"
 CARRIED_TIME_ANY = r"\A\[(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2})[^\]]*\]"
 LOOSE_STAMP = r"\A\[(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}[^\]]*)\]\s*"
@@ -49,37 +47,84 @@ def parse_records(lines: DataFrame, received_at: Column | None = None) -> DataFr
 
     An unreadable time is replaced by ``received_at`` (default: time of the batch). Key columns of
     the input (file, block, seq) are kept.
+
+    Usually the first brace behind the header starts the blocks at the end of the line; then one
+    pattern cuts all six fields in one pass. Where it does not match (braces in the message, nesting
+    beyond its depth) the blocks are peeled off from the right, mark by mark. Each step is a
+    projection of its own, so that nothing is worked out twice.
     """
     keys = [c for c in ("file", "block", "seq") if c in lines.columns]
     received = F.current_timestamp() if received_at is None else received_at
-    heads = (
-        lines.withColumn("_line", trim_blanks("line"))
-        .withColumn("_head", F.regexp_extract("_line", RECORD_HEADER, 0))
-        .where(F.col("_head") != "")
+    odd, line, rest = F.col("_odd"), F.col("line"), F.col("_rest")
+
+    def field(index: int) -> Column:
+        return F.get("_parts", F.lit(index))
+
+    head = F.regexp_extract(line, RECORD_HEADER, 0)
+    name = F.translate(F.substring_index(head, "]", -1), BLANK_CHARS + ":", "")
+    rows = (
+        lines.where(line.rlike(RECORD_HEADER))
+        .select(*keys, "line", F.split(F.regexp_replace("line", _WHOLE_LINE, _MARKED), _MARK).alias("_parts"))
+        .withColumn("_odd", F.size("_parts") != 6)
+        .select(
+            *keys,
+            "_odd",
+            F.when(odd, F.substring_index(F.substring_index(head, "]", 1), "[", -1))
+            .otherwise(field(0)).alias("_stamp"),
+            F.when(odd, F.substring_index(name, ".", 1)).otherwise(field(1)).alias("channel"),
+            F.upper(F.when(odd, F.substring_index(name, ".", -1)).otherwise(field(2))).alias("level_name"),
+            F.rtrim(field(3)).alias("_text"),
+            field(4).alias("_first"),
+            field(5).alias("_second"),
+            F.when(odd, _trimmed(F.substr(line, F.length(head) + 1))).alias("_rest"),
+        )
+    )
+    steps = (
+        # Rows whose blocks have to be peeled off; null for all others.
+        ("_last", F.when(odd, _block_length(rest))),
+        ("_before", _trimmed(F.substr(rest, F.lit(1), F.length(rest) - F.col("_last")))),
+        ("_fore", F.when(odd, _block_length(F.col("_before")))),
     )
-    stamp = F.substring_index(F.expr("substring(_head, 2)"), "]", 1)
-    name = F.rtrim(
-        F.btrim(F.substring_index("_head", "]", -1), F.lit(BLANK_CHARS)), F.lit(":")
+    for column, step in steps:
+        rows = rows.withColumn(column, step)
+    before, last, fore = F.col("_before"), F.col("_last"), F.col("_fore")
+    text, first, second = F.col("_text"), F.col("_first"), F.col("_second")
+    last_block = F.nullif(F.substr(rest, F.length(rest) - last + 1), F.lit(""))
+    fore_block = F.substr(before, F.length(before) - fore + 1)
+    # An empty list ahead of the only block, or up to two of them, stand for nothing.
+    listed = text.endswith("[]") & (second == "")
+    shorter = _without_list(text)
+    message = (
+        F.when(odd, _trimmed(F.substr(before, F.lit(1), F.length(before) - fore)))
+        .when(~listed, text)
+        .when((first == "") & shorter.endswith("[]"), _without_list(shorter))
+        .otherwise(shorter)
     )
-    level_name = F.upper(F.substring_index(name, ".", -1))
-    rest = F.expr("btrim(substring(_line, length(_head) + 1))")
-    parts = split_message(rest)
-    return heads.select(
+    context = F.when(odd, F.when(fore > 0, fore_block).otherwise(last_block)).when(~listed, first)
+    extra = F.when(odd, F.when(fore > 0, last_block)).when(listed, first).otherwise(second)
+    stamp = F.col("_stamp")
+    # The header fixes the rest of the form; a zone must follow.
+    zoned = stamp.endswith("Z") | (
+        F.substr(stamp, F.lit(-6), F.lit(1)).isin("+", "-") & (F.substr(stamp, F.lit(-3), F.lit(1)) == ":")
+    )
+    return rows.select(
         *keys,
-        F.coalesce(F.when(stamp.rlike(RFC3339), stamp.try_cast("timestamp")), received).alias("ts"),
-        clip(F.substring_index(name, ".", 1), "channel").alias("channel"),
-        level_code(level_name).alias("level"),
-        clip(level_name, "level_name").alias("level_name"),
-        parts.alias("_parts"),
+        F.coalesce(F.when(zoned, stamp.try_cast("timestamp")), received).alias("ts"),
+        clip("channel", "channel").alias("channel"),
+        level_code("level_name").alias("level"),
+        clip("level_name", "level_name").alias("level_name"),
+        clip(message, "message").alias("message"),
+        context.alias("_context"),
+        extra.alias("_extra"),
     ).select(
         *keys,
         "ts",
         "channel",
         "level",
         "level_name",
-        clip("_parts.message", "message").alias("message"),
-        F.col("_parts.context").alias("context"),
-        F.col("_parts.extra").alias("extra"),
+        "message",
+        _filled("_context").alias("context"),
+        _filled("_extra").alias("extra"),
         F.lit(None).cast("string").alias("url"),
         F.lit(None).cast("string").alias("ip"),
     )
@@ -87,35 +132,65 @@ def parse_records(lines: DataFrame, received_at: Column | None = None) -> DataFr
 
 BLANK_CHARS = " \t\n\f\r"
 
-# Message, then up to two trailing blocks that hold no further brace.
-_FLAT_TAIL = r"(?s)\A(.*?)\s*(\{[^{}]*\}|\[\])?\s*(\{[^{}]*\}|\[\])?\z"
-_BLANK_BLOCK = r"(?s)\A[\[{]\s*[\]}]\z"
+# A JSON object nested up to 16 levels. Every repetition is possessive: matching takes one pass and no
+# recursion, however long the text is.
+_JSON_STRING = r'"(?:[^"\\]++|\\.)*+"'
+_JSON_OBJECT = r"\{(?:[^{}\"]++|" + _JSON_STRING + r")*+\}"
+for _ in range(15):
+    _JSON_OBJECT = r"\{(?:[^{}\"]++|" + _JSON_STRING + "|" + _JSON_OBJECT + r")*+\}"
+
+# The fields of a whole line, and the mark put between them.
+_WHOLE_LINE = (
+    r"(?s)\A\s*+\[(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d++[^\]]*+)\]\s++(\w++)\.(\w++):\s++"
+    rf"([^{{]*+)(?:({_JSON_OBJECT})\s*+({_JSON_OBJECT}|\[\])?+)?+\s*+\z"
+)
+_MARK = "\x01"
+_MARKED = _MARK.join(f"${i}" for i in range(1, 7))
+_BLANK_BLOCK = r"(?s)\A[\[{]\s*+[\]}]\z"
+_JSON_TOKEN = r'(?s)\\.|["{}]|[^"{}\\]+|\\'
 
 
-def split_message(rest: Column) -> Column:
-    """struct(message, context, extra) of the text after the header.
+def _without_list(text: Column) -> Column:
+    return F.rtrim(F.substr(text, F.lit(1), F.length(text) - 2))
 
-    Flat blocks are cut by one pattern; if a brace is left in the message (nesting, or braces inside
-    strings) the row goes to the balanced scan.
-    """
-    message = F.regexp_extract(rest, _FLAT_TAIL, 1)
-    nested = message.rlike(r"[{}]")
-    balanced = split_json_tail(F.when(nested, rest))
 
-    def block(index: int) -> Column:
-        text = F.regexp_extract(rest, _FLAT_TAIL, index)
-        return F.when((text != "") & ~text.rlike(_BLANK_BLOCK), text)
+def _trimmed(text: Column) -> Column:
+    return F.rtrim(text, F.lit(BLANK_CHARS))
 
-    return F.when(
-        nested,
-        F.struct(
-            balanced["message"].alias("message"),
-            balanced["context"].alias("context"),
-            balanced["extra"].alias("extra"),
-        ),
-    ).otherwise(
-        F.struct(message.alias("message"), block(2).alias("context"), block(3).alias("extra"))
+
+def _block_length(text: Column) -> Column:
+    """Length of the balanced block, or empty list, that ends the text; 0 if there is none."""
+    marks = F.reverse(F.regexp_extract_all(text, F.lit(_JSON_TOKEN), F.lit(0)))
+
+    def step(state: Column, mark: Column) -> Column:
+        bare = ~state["quoted"]
+        depth = (
+            state["depth"]
+            + F.when(bare & (mark == "}"), 1).otherwise(0)
+            - F.when(bare & (mark == "{"), 1).otherwise(0)
+        )
+        moved = F.struct(
+            depth.alias("depth"),
+            F.when(mark == '"', bare).otherwise(state["quoted"]).alias("quoted"),
+            (state["taken"] + F.length(mark)).alias("taken"),
+            (bare & (mark == "{") & (depth == 0)).alias("closed"),
+        )
+        return F.when(state["closed"], state).otherwise(moved)
+
+    start = F.struct(
+        F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("taken"),
+        F.lit(False).alias("closed"),
+    )
+    length = F.aggregate(
+        marks, start, step, lambda state: F.when(state["closed"], state["taken"]).otherwise(0)
     )
+    return F.when(text.endswith("}"), length).when(text.endswith("[]"), 2).otherwise(0)
+
+
+def _filled(name: str) -> Column:
+    """A block unless it is empty."""
+    block = F.col(name)
+    return F.when(~block.isin("", "{}", "[]") & ~block.rlike(_BLANK_BLOCK), block)
 
 
 def resolve_origin(records: DataFrame) -> DataFrame:

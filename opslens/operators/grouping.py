@@ -78,10 +78,10 @@ def merge_groups(groups: DataFrame, by: str = "time") -> DataFrame:
     """Fold grouped batches, numbered by ``version``, into one row per message key.
 
     ``by="arrival"`` is last-write-wins: the first batch fixes message, level and first time, the
-    last batch sets last time, context, extra, url and ip, even to null. ``by="time"`` orders the
-    same columns by event time instead, so late batches and replays change nothing. Rows without a
-    key are never merged. The result carries the highest version folded into each row, so it can be
-    merged again.
+    last batch sets last time, context, extra, url and ip, even to null. ``by="time"`` takes the
+    earliest first time and the details, message included, of the latest event time, so the result
+    does not depend on how records were cut into batches. Rows without a key are never merged. The
+    result carries the highest version folded into each row, so it can be merged again.
     """
     if by == "time":
         first, last = F.struct("first_seen", "version"), F.struct("last_seen", "version")
@@ -89,7 +89,7 @@ def merge_groups(groups: DataFrame, by: str = "time") -> DataFrame:
         first = last = F.struct("version")
     else:
         raise ValueError("by is 'time' or 'arrival'")
-    details = F.struct("last_seen", *LATEST)
+    details = F.struct("last_seen", "message", *LATEST)
     merged = (
         groups.where(F.col("message_key").isNotNull())
         .groupBy("message_key")
@@ -104,7 +104,7 @@ def merge_groups(groups: DataFrame, by: str = "time") -> DataFrame:
             "f.channel",
             "f.level",
             "f.level_name",
-            "f.message",
+            "l.message" if by == "time" else "f.message",
             "l.context",
             "l.extra",
             "f.first_seen",

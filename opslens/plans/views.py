@@ -6,11 +6,35 @@ whole table.
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..sources.tables import uri
+
+
+# Columns the rows of a small table are dealt out by.
+ROW_KEYS = {"events": "event_id", "lineitem": "l_orderkey", "documents": "doc_id"}
+SPLIT_BYTES = 128 * 1024 * 1024
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One that fills less than a split per core comes as few row groups, read by as
+    few tasks, so its rows are dealt out over the cores; larger tables are left as they are read."""
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if name in ROW_KEYS and table_bytes(path) < SPLIT_BYTES * cores:
+        return df.repartition(cores, ROW_KEYS[name])
+    return df
+
+
+def table_bytes(path: str) -> int:
+    filesystem, root = fs.FileSystem.from_uri(uri(path))
+    info = filesystem.get_file_info(root)
+    if info.type == fs.FileType.File:
+        return info.size
+    files = filesystem.get_file_info(fs.FileSelector(root, recursive=True))
+    return sum(f.size for f in files if f.type == fs.FileType.File)
 
 
 def stamp(ts: Column, pattern: str) -> Column:

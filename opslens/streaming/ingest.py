@@ -88,5 +88,4 @@ def start_append(
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
     """Non-empty lines that carry no record header: what parsing drops."""
-    text = trim_blanks("line")
-    return lines.where((text != "") & ~text.rlike(RECORD_HEADER))
+    return lines.where((trim_blanks("line") != "") & ~F.col("line").rlike(RECORD_HEADER))

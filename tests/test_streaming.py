@@ -1,0 +1,273 @@
+"""Streams give what a batch over the same rows gives, restarts included."""
+
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from opslens.operators.endpoints import endpoint_rows, endpoint_stats
+from opslens.operators.grouping import group_records
+from opslens.operators.sqltrack import as_deltas, issue_rows, issues_of, merge_issues
+from opslens.options import Options
+from opslens.schemas import LOG_LINE, STREAMED_SAMPLE, TIMING_SAMPLE
+from opslens.sources.files import read_lines
+from opslens.sources.growing import GrowingReader, stream_lines
+from opslens.streaming.ingest import (
+    group_table,
+    rejected_lines,
+    start_append,
+    start_ingest,
+    wanted_records,
+    write_groups,
+)
+from opslens.streaming.monitors import (
+    current_spikes,
+    endpoint_table,
+    minute_rates,
+    spike_table,
+    throttle_reports,
+    write_endpoints,
+    write_spike_flags,
+)
+from opslens.streaming.requests import close_requests, issue_table, open_table
+
+T0 = datetime(2024, 1, 1)
+
+
+def at(seconds):
+    return T0 + timedelta(seconds=seconds)
+
+
+def line(i, level="ERROR", text=None):
+    ts = at(i).strftime("%Y-%m-%dT%H:%M:%S.000001+00:00")
+    return f'[{ts}] app.{level}: {text or "job failed with a long enough text"} {i} {{"n":{i}}} []'
+
+
+def append(path, *lines, end="\n"):
+    with open(path, "a") as handle:
+        handle.write("\n".join(lines) + end)
+
+
+def drain(query):
+    try:
+        query.processAllAvailable()
+        return query
+    finally:
+        query.stop()
+
+
+def test_ingest_equals_batch_across_restarts(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    table = group_table(str(tmp_path / "table"))
+
+    def run():
+        query = start_ingest(stream_lines(spark, str(logs)), table, str(tmp_path / "cp"), immediate=True)
+        return drain(query)
+
+    append(logs / "a.log", *[line(i) for i in range(5)])
+    append(logs / "b.log", line(100, "INFO"), line(101, "WARNING", "slow disk"), "no header")
+    run()
+    assert sum(r.occurrences for r in table.read(spark).collect()) == 6
+    # A line still being written is left for the next batch.
+    append(logs / "a.log", *[line(i) for i in range(5, 8)], line(8)[:40], end="")
+    run()
+    append(logs / "a.log", line(8)[40:])
+    append(logs / "c.log", line(200, "CRITICAL"))
+    run()
+    run()
+    merged = table.read(spark).drop("version").orderBy("message_key").collect()
+    batch = group_records(wanted_records(read_lines(spark, str(logs)))).orderBy("message_key")
+    assert [r.asDict() for r in merged] == [r.asDict() for r in batch.select(*merged[0].asDict()).collect()]
+    assert sorted(r.occurrences for r in merged) == [1, 1, 9]
+    assert rejected_lines(read_lines(spark, str(logs))).count() == 1
+
+
+def test_progress_counts_lines(spark, tmp_path):
+    append(tmp_path / "a.log", line(1), "", "x")
+    table = group_table(str(tmp_path / "table"))
+    query = start_ingest(stream_lines(spark, str(tmp_path)), table, str(tmp_path / "cp"), immediate=True)
+    query.processAllAvailable()
+    seen = [p.observedMetrics["ingest"] for p in query.recentProgress if "ingest" in p.observedMetrics]
+    query.stop()
+    assert sum(m["lines"] for m in seen) == 3 and sum(m["filled_lines"] for m in seen) == 2
+
+
+def test_hundred_lines_of_one_prefix(spark, tmp_path):
+    append(tmp_path / "a.log", *[line(i) for i in range(100)])
+    table = group_table(str(tmp_path / "table"))
+    drain(start_ingest(stream_lines(spark, str(tmp_path), maxBytesPerFile="2000"), table, str(tmp_path / "cp"), immediate=True))
+    assert [r.occurrences for r in table.read(spark).collect()] == [100]
+    assert len(table.deltas()) > 1
+
+
+def test_six_lines_in_two_groups(spark, tmp_path):
+    lines = [
+        line(0, "WARNING", "stock of item below the limit"), line(1, "DEBUG"), line(2, "ERROR", "order import has failed again"),
+        line(3, "WARNING", "stock of item below the limit"), line(4, "ERROR", "order import has failed again"),
+        line(5, "WARNING", "stock of item below the limit"),
+    ]
+    df = spark.createDataFrame([("a", 0, i, t) for i, t in enumerate(lines)], LOG_LINE)
+    table = group_table(str(tmp_path / "t"))
+    write_groups(df, 0, table)
+    got = {r.level_name: r for r in table.read(spark).collect()}
+    assert (got["WARNING"].occurrences, got["WARNING"].context) == (3, '{"n":5}')
+    assert (got["ERROR"].occurrences, got["ERROR"].last_seen) == (2, at(4).replace(microsecond=1))
+
+
+def test_replayed_and_compacted_batches(spark, tmp_path):
+    df = spark.createDataFrame([("a", 0, i, line(i)) for i in range(6)], LOG_LINE)
+    table = group_table(str(tmp_path / "t"))
+    for batch in (0, 1, 1, 2, 0):
+        write_groups(df.where(F.floor(F.col("seq") / 2) == batch), batch, table, compact_every=2)
+    assert [r.occurrences for r in table.read(spark).collect()] == [6]
+    assert table.bases()[-1] == (1, 0)
+
+
+def test_append_stream(spark, tmp_path):
+    append(tmp_path / "a.log", line(1), line(2), line(86_400 * 2))
+    out = str(tmp_path / "out")
+    drain(start_append(stream_lines(spark, str(tmp_path)), out, str(tmp_path / "cp")))
+    rows = spark.read.option("basePath", out).parquet(out + "/version=*")
+    assert rows.count() == 3 and rows.select("day").distinct().count() == 2
+
+
+# --- source -------------------------------------------------------------------------------
+
+
+def test_latest_start_and_rotation(tmp_path):
+    path = tmp_path / "a.log"
+    append(path, "one", "two")
+    reader = GrowingReader({"path": str(tmp_path), "startingoffsets": "latest"})
+    start = reader.initialOffset()
+    append(path, "three")
+    end = reader.latestOffset()
+    parts = reader.partitions(start, end)
+    assert [(p.start, p.end) for p in parts] == [(8, 14)]
+    # The file is moved away and begun anew, longer than it was.
+    path.rename(tmp_path / "a.log.1")
+    append(path, "fresh line " * 5)
+    after = reader.latestOffset()
+    assert [(p.start, p.end) for p in reader.partitions(end, after)] == [(0, 56)]
+    # The file is cut short in place.
+    path.write_text("s\n")
+    cut = reader.latestOffset()
+    assert [(p.start, p.end) for p in reader.partitions(after, cut)] == [(0, 2)]
+
+
+def test_bytes_per_batch(tmp_path):
+    append(tmp_path / "a.log", *["x" * 9] * 10)
+    reader = GrowingReader({"path": str(tmp_path), "maxbytesperfile": "25"})
+    last, ends = reader.initialOffset(), []
+    for _ in range(6):
+        now = reader.latestOffset()
+        ends.append(list(now.values())[0][1])
+        reader.partitions(last, now)
+        last = now
+    assert ends == [30, 60, 90, 100, 100, 100]
+    # One line longer than the limit still moves on.
+    append(tmp_path / "a.log", "y" * 100)
+    assert list(reader.latestOffset().values())[0][1] == 201
+
+
+def test_file_is_awaited(tmp_path):
+    reader = GrowingReader({"path": str(tmp_path / "late" / "*.log")})
+    assert reader.initialOffset() == {} and reader.latestOffset() == {}
+    (tmp_path / "late").mkdir()
+    append(tmp_path / "late" / "a.log", "x")
+    now = reader.latestOffset()
+    assert [(p.start, p.end) for p in reader.partitions({}, now)] == [(0, 2)]
+
+
+# --- monitors -------------------------------------------------------------------------------
+
+
+def test_minute_rates(spark, tmp_path):
+    append(tmp_path / "a.log", *[line(i * 20) for i in range(9)], "trace")
+    query = (
+        minute_rates(stream_lines(spark, str(tmp_path))).writeStream.outputMode("update")
+        .format("memory").queryName("rates").option("checkpointLocation", str(tmp_path / "cp")).start()
+    )
+    query.processAllAvailable()
+    append(tmp_path / "a.log", line(61))
+    query.processAllAvailable()
+    query.stop()
+    rates = spark.table("rates").groupBy("minute").agg(F.max("lines").alias("lines"))
+    assert {(r.minute.minute, r.lines) for r in rates.collect()} == {(0, 3), (1, 4), (2, 3)}
+
+
+def test_spike_flags_over_batches(spark, tmp_path):
+    table = spike_table(str(tmp_path / "t"))
+    for batch, level in enumerate(["ERROR"] * 30 + ["INFO"] * 48):
+        if batch % 10:
+            continue
+        rows = [("a.log", 0, batch * 10 + i, f"x.{level}: y") for i in range(100 if level == "INFO" else 10)]
+        write_spike_flags(spark.createDataFrame(rows, LOG_LINE), batch, table)
+    # 30 severe lines, then 500 others.
+    got = current_spikes(spark, table).first()
+    assert (got.errors, got.spike) == (0, False)
+    write_spike_flags(spark.createDataFrame([("a.log", 0, 9_000 + i, "x.CRITICAL: y") for i in range(20)], LOG_LINE), 100, table)
+    got = current_spikes(spark, table).first()
+    assert (got.errors, got.spike) == (20, True)
+    assert table.read(spark).count() == 500
+
+
+def test_throttle_stream(spark, tmp_path):
+    source = str(tmp_path / "in")
+    schema = "instance_id string, collected_at timestamp"
+    (tmp_path / "in").mkdir()
+    reports = spark.readStream.schema(schema).parquet(source)
+
+    def put(*items):
+        spark.createDataFrame([(h, at(s)) for h, s in items], schema).coalesce(1).write.mode("append").parquet(source)
+
+    put(("a", 0), ("a", 30), ("b", 10), ("a", 61))
+    query = (
+        throttle_reports(reports).writeStream.format("memory").queryName("let_through")
+        .option("checkpointLocation", str(tmp_path / "cp")).start()
+    )
+    query.processAllAvailable()
+    put(("a", 100), ("a", 121), ("b", 69), ("b", 70))
+    query.processAllAvailable()
+    query.stop()
+    got = sorted((r.instance_id, r.accepted_at) for r in spark.table("let_through").collect())
+    assert got == [("a", at(0)), ("a", at(61)), ("a", at(121)), ("b", at(10)), ("b", at(70))]
+
+
+def test_endpoints_in_batches(spark, tmp_path):
+    items = [(f"/p/{i}", "http", float(i % 17), 200, at(i), i) for i in range(90)]
+    df = spark.createDataFrame(items, TIMING_SAMPLE)
+    table = endpoint_table(str(tmp_path / "t"))
+    for batch in range(3):
+        write_endpoints(df.where(F.floor(F.col("seq") / 30) == batch), batch, table)
+        if batch == 1:
+            table.compact(spark)
+    got, whole = endpoint_rows(table.read(spark)).first(), endpoint_stats(df).first()
+    assert got.ema_ms == pytest.approx(whole.ema_ms, rel=1e-12)
+    assert (got.requests, got.min_ms, got.max_ms, got.last_seen) == (90, 0.0, 16.0, whole.last_seen)
+
+
+def test_requests_close_by_mark_or_silence(spark, tmp_path):
+    issues, waiting = issue_table(str(tmp_path / "i")), open_table(str(tmp_path / "w"))
+    opts = Options(n1_threshold=2)
+
+    def sample(request, seq, second, ended=False, sql="SELECT 1"):
+        return (request, seq, at(second), f"/{request}", sql, "{}", 1.0, request, ended)
+
+    batches = [
+        [sample("a", 0, 0), sample("a", 1, 1), sample("b", 0, 2)],
+        [sample("a", 2, 3), sample("a", 3, 3, True, None), sample("b", 1, 4), sample("b", 2, 5)],
+        [sample("c", 0, 66)],
+    ]
+    counts = []
+    for number, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, STREAMED_SAMPLE)
+        for _ in range(2):  # a repeat changes nothing
+            close_requests(df, number, issues, waiting, opts)
+        counts.append([r.executions for r in issue_rows(issues.read(spark)).collect()])
+    # a ends with its mark, b by silence; c stays open.
+    assert counts == [[], [3], [6]]
+    assert [r.request_id for r in waiting.read(spark).collect()] == ["c"]
+    every = spark.createDataFrame([r for b in batches[:2] for r in b if r[4]], STREAMED_SAMPLE).drop("ended")
+    batch = issue_rows(merge_issues(as_deltas(issues_of(every, opts)).withColumn("version", F.lit(0)))).first()
+    assert issue_rows(issues.read(spark)).first() == batch
