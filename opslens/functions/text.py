@@ -20,13 +20,13 @@ CLIP = {
     "command": 60,
 }
 
-# SQL template rules, applied in this order. The string literal is written possessively
-# so that a literal of any length is matched without recursion.
+# SQL template rules, applied in this order: line comments, block comments, string and
+# number literals, lists, spaces. The string literal is written possessively so that one of any length
+# is matched without recursion.
 SQL_TEMPLATE_RULES = (
     (r"--[^\n]*", ""),
     (r"(?s)/\*.*?\*/", ""),
-    (r"(?d)'[^'\\]*+(?:\\.[^'\\]*+)*+'", "?"),
-    (r"\b\d+(\.\d+)?\b", "?"),
+    (r"(?d)'[^'\\]*+(?:\\.[^'\\]*+)*+'|\b\d+(?:\.\d+)?\b", "?"),
     (r"(?i)IN\s*\(\s*\?(?:\s*,\s*\?)*+\s*\)", "IN (?)"),
     (r"\s+", " "),
 )

@@ -36,15 +36,16 @@ def with_path_templates(samples: DataFrame) -> DataFrame:
     )
 
 
-def endpoint_deltas(samples: DataFrame) -> DataFrame:
+def endpoint_deltas(samples: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Statistics of one batch per (path, type), in the shape that merges.
 
     The average halves its distance to every new sample, so over samples x1..xn it is the sum of
     xi * 2^-(n-i+1), plus x1 * 2^-n for the first sample, which starts it. ``ema_part`` is the sum,
     over the newest samples; with the first sample and the count it can be continued by a later batch.
+    ``by`` keeps further columns apart, such as a batch number.
     """
     order = F.struct("ts", "seq")
-    keys = ["path", "type"]
+    keys = [*by, "path", "type"]
     totals = samples.groupBy(*keys).agg(
         F.min_by("ms", order).alias("first_ms"),
         F.min("ms").alias("min_ms"),
@@ -64,8 +65,7 @@ def endpoint_deltas(samples: DataFrame) -> DataFrame:
         F.sum(F.col("ms") * F.pow(F.lit(2.0), -F.col("age"))).alias("ema_part")
     )
     return totals.join(averages, keys).select(
-        "path", "type", "ema_part", "first_ms", "min_ms", "max_ms", "requests", "last_seen",
-        "last_status",
+        *keys, "ema_part", "first_ms", "min_ms", "max_ms", "requests", "last_seen", "last_status"
     )
 
 

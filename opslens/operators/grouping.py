@@ -35,11 +35,13 @@ def as_single_rows(records: DataFrame) -> DataFrame:
     )
 
 
-def group_records(records: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
+def group_records(
+    records: DataFrame, opts: Options = DEFAULTS, by: tuple[str, ...] = ()
+) -> DataFrame:
     """One row per message key: count, first and last time, and the details of the latest record.
 
     Of several records with the latest time the earliest arrival (block, seq) wins; the level name is
-    the first arrival's.
+    the first arrival's. ``by`` groups under further columns too, such as a batch number.
     """
     if not opts.grouping:
         return as_single_rows(records)
@@ -47,7 +49,7 @@ def group_records(records: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
     newest_first = F.struct(F.negative(F.unix_micros("ts")), F.col("block"), F.col("seq"))
     return (
         with_message_key(records, opts)
-        .groupBy("message_key", "channel", "level")
+        .groupBy(*by, "message_key", "channel", "level")
         .agg(
             F.min_by("level_name", arrival).alias("level_name"),
             F.min_by(
@@ -58,6 +60,7 @@ def group_records(records: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
             F.count(F.lit(1)).alias("occurrences"),
         )
         .select(
+            *by,
             "message_key",
             "channel",
             "level",

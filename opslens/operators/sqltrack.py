@@ -70,6 +70,8 @@ def template_stats(samples: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
             F.min("url").alias("url"),
             F.min("first_seq").alias("first_seq"),
             F.max("last_seen").alias("last_seen"),
+            # Part of the result, so that a filter on it does not reach the raw samples.
+            F.bool_and(is_select("template")).alias("is_select"),
         )
         .select(
             "request_id",
@@ -86,6 +88,7 @@ def template_stats(samples: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
             "worst.params_json",
             "first_seq",
             "last_seen",
+            "is_select",
         )
     )
 
@@ -184,6 +187,7 @@ def find_issues(stats: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
             advice().alias("suggestion"),
             analysis().alias("analysis"),
             "last_seen",
+            "is_select",
         )
     )
 
@@ -194,7 +198,7 @@ def issues_of(samples: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
 
 def explain_candidates(issues: DataFrame) -> DataFrame:
     """Slow SELECT issues whose plan is worth reading: the first few of every request."""
-    slow = issues.where(F.col("is_slow") & is_select("template"))
+    slow = issues.where(F.col("is_slow") & F.col("is_select"))
     return top_per_group(
         slow, ["request_id"], [F.asc("first_seq"), F.asc("template")], EXPLAINS_PER_REQUEST
     )

@@ -356,17 +356,8 @@ SELECT file, date_trunc('minute', ts) AS minute, count(*) AS lines FROM v_log GR
 
 def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records grouped per ten-day batch, the batches numbered as versions."""
-    records = _records(spark, sf_dir)
-    parts = [
-        group_records(records.where(F.floor((F.dayofmonth("ts") - 1) / 10) == n)).withColumn(
-            "version", F.lit(n).cast("bigint")
-        )
-        for n in range(4)
-    ]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    return merged
+    batch = F.floor((F.dayofmonth("ts") - 1) / 10).cast("bigint")
+    return group_records(_records(spark, sf_dir).withColumn("version", batch), by=("version",))
 
 
 def log_merge(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,11 +80,8 @@ ENDPOINTS = f"WITH {TIMING_SQL}, {_stats_sql(_TRACKED_WHERE)} SELECT * FROM stat
 def endpoint_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten-day batches stored one by one and merged equal all samples at once."""
     samples = with_path_templates(tracked(timing_view(spark, sf_dir), Options(tracked_statuses=())))
-    batch = F.floor((F.dayofmonth("ts") - 1) / 10)
-    deltas = None
-    for n in range(4):
-        part = endpoint_deltas(samples.where(batch == n)).withColumn("version", F.lit(n).cast("bigint"))
-        deltas = part if deltas is None else deltas.unionByName(part)
+    batch = F.floor((F.dayofmonth("ts") - 1) / 10).cast("bigint")
+    deltas = endpoint_deltas(samples.withColumn("version", batch), by=("version",))
     return _stat_columns(endpoint_rows(merge_endpoints(deltas)))
 
 

@@ -194,7 +194,11 @@ def sample_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return item.select(
         F.col("l_orderkey").cast("string").alias("request_id"),
-        (F.col("l_linenumber") * F.lit(10**9).cast("bigint") + part).alias("seq"),
+        (
+            F.col("l_linenumber") * F.lit(10**13)
+            + F.round(F.col("l_extendedprice") * 100).cast("bigint") * 10_000
+            + F.col("l_suppkey") % 10_000
+        ).alias("seq"),
         F.col("l_shipdate").cast("timestamp").alias("ts"),
         F.concat(F.lit("/order/"), F.col("l_orderkey")).alias("url"),
         sql.alias("sql"),
@@ -206,7 +210,8 @@ def sample_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SAMPLE_SQL = r"""
 v_sql AS (
-  SELECT l_orderkey::VARCHAR AS request_id, l_linenumber * 1000000000::BIGINT + l_partkey AS seq,
+  SELECT l_orderkey::VARCHAR AS request_id, l_linenumber * 10000000000000::BIGINT
+      + round(l_extendedprice * 100)::BIGINT * 10000 + l_suppkey % 10000 AS seq,
     l_shipdate AS ts, '/order/' || l_orderkey AS url,
     'SELECT  * FROM ' || CASE WHEN l_linestatus = 'F' THEN 'part' ELSE 'stock_2' END
       || ' /* by key */ WHERE id = ' || l_partkey || ' AND price > '
