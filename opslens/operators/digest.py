@@ -38,7 +38,17 @@ def exception_digest(
         exception_of("line").alias("exception"),
     )
     # Only exceptions and times move on from here, not the lines.
-    found = carry_time(marked, keep=F.col("exception").isNotNull())
+    wanted = F.col("exception").isNotNull()
+    if scan_lines is None:
+        found = carry_time(marked, keep=wanted)
+    else:
+        # No more than scan_lines rows per file.
+        above = (
+            Window.partitionBy("file")
+            .orderBy("block", "seq")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        found = marked.withColumn("carried", F.last("line_ts", ignorenulls=True).over(above)).where(wanted)
     at = F.struct("block", "seq")
     groups = (
         found.withColumn("key", exception_key(F.col("exception")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import path_template
@@ -44,10 +46,10 @@ def endpoint_deltas(samples: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     over the newest samples; with the first sample and the count it can be continued by a later batch.
     ``by`` keeps further columns apart, such as a batch number.
     """
-    order = F.struct("ts", "seq")
+    # One number orders (ts, seq), so that the aggregate keeps fixed-width state and hashes.
+    order = F.unix_micros("ts").cast("decimal(19,0)") * F.lit(Decimal(10**19)) + F.col("seq")
     keys = [*by, "path", "type"]
     totals = samples.groupBy(*keys).agg(
-        F.min_by("ms", order).alias("first_ms"),
         F.min("ms").alias("min_ms"),
         F.max("ms").alias("max_ms"),
         F.count(F.lit(1)).alias("requests"),
@@ -62,7 +64,9 @@ def endpoint_deltas(samples: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         "age",
     )
     averages = newest.groupBy(*keys).agg(
-        F.sum(F.col("ms") * F.pow(F.lit(2.0), -F.col("age"))).alias("ema_part")
+        F.sum(F.col("ms") * F.pow(F.lit(2.0), -F.col("age"))).alias("ema_part"),
+        # The first sample of all while there are no more than these, and of no weight otherwise.
+        F.max_by("ms", "age").alias("first_ms"),
     )
     return totals.join(averages, keys).select(
         *keys, "ema_part", "first_ms", "min_ms", "max_ms", "requests", "last_seen", "last_status"

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.ordering import first_per_request
 from ..operators.sqltrack import as_deltas, issues_of, merge_issues
 from ..options import DEFAULTS, Options
-from ..schemas import ISSUE_DELTA, QUERY_SAMPLE, STREAMED_SAMPLE
+from ..schemas import ISSUE_DELTA, OPEN_SAMPLE, QUERY_SAMPLE
 from ..sources.tables import MergedTable, SnapshotTable
 
 def issue_table(path: str) -> MergedTable:
@@ -17,7 +17,7 @@ def issue_table(path: str) -> MergedTable:
 
 def open_table(path: str) -> SnapshotTable:
     """Samples of the requests that have not ended; every batch stores the whole set anew."""
-    return SnapshotTable(path, STREAMED_SAMPLE)
+    return SnapshotTable(path, OPEN_SAMPLE)
 
 
 def close_requests(
@@ -35,22 +35,32 @@ def close_requests(
     written under the batch's number, from the state of the batch before, so a repeat is harmless.
     """
     spark = samples.sparkSession
-    known = waiting.read(spark, batch).unionByName(samples.select(*STREAMED_SAMPLE.names))
-    newest = known.agg(F.max("ts")).first()[0]
-    if newest is None:
-        return
-    ends = known.groupBy("request_id").agg(
-        (
-            F.bool_or(F.coalesce("ended", F.lit(False)))
-            | (F.max("ts") < F.lit(newest) - F.make_interval(secs=F.lit(idle_s)))
-        ).alias("closed")
+    arrived = samples.withColumn("active", F.col("ts"))
+    columns = [*OPEN_SAMPLE.names, "ended"]
+    known = (
+        waiting.read(spark, batch)
+        .withColumn("ended", F.lit(False))
+        .select(*columns)
+        .unionByName(arrived.select(*columns))
+        .persist()
     )
-    marked = known.join(ends, "request_id")
-    filled = F.col("sql").isNotNull()
-    closed = marked.where("closed").where(filled).select(*QUERY_SAMPLE.names)
-    issues.write_batch(as_deltas(issues_of(closed, opts)), batch)
-    still_open = marked.where(~F.col("closed")).select(*STREAMED_SAMPLE.names)
-    waiting.write(first_per_request(still_open, opts.samples_per_request), batch)
+    try:
+        newest = known.agg(F.max("active")).first()[0]
+        if newest is None:
+            return
+        silent = F.max("active") < F.lit(newest) - F.make_interval(secs=F.lit(idle_s))
+        ends = known.groupBy("request_id").agg(
+            (F.bool_or(F.coalesce("ended", F.lit(False))) | silent).alias("closed"),
+            F.max("active").alias("active"),
+        )
+        # Capped before the join, so a request of any length adds few rows to it.
+        counted = first_per_request(known.where(F.col("sql").isNotNull()), opts.samples_per_request)
+        marked = counted.drop("active").join(ends, "request_id")
+        closed = marked.where("closed").select(*QUERY_SAMPLE.names)
+        issues.write_batch(as_deltas(issues_of(closed, opts)), batch)
+        waiting.write(marked.where(~F.col("closed")).select(*OPEN_SAMPLE.names), batch)
+    finally:
+        known.unpersist()
 
 
 def start_requests(

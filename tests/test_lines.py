@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from opslens.functions.json_tail import mask_json_text, split_tail
+from opslens.functions.json_tail import mask_json_text, register_functions, split_tail
 from opslens.functions.levels import level_code
 from opslens.functions.loglines import (
     basic_regex,
@@ -244,3 +244,26 @@ def test_small_texts(spark):
     assert one(spark, json_or_null(F.create_map(F.lit("a"), F.lit(1))), z=1) == '{"a":1}'
     empty = F.create_map().cast("map<string,int>")
     assert one(spark, json_or_null(empty), z=1) is None
+
+
+def test_long_blocks_are_matched_without_recursion(spark):
+    quoted = '{"a":"' + '\\"x' * 50_000 + '"}'
+    many = "{" + ",".join(f'"k{i}":"v{{{i}"' for i in range(20_000)) + "}"
+    deep = '{"a":' * 60 + "1" + "}" * 60
+    for block in (quoted, many, deep):
+        row = parse(spark, HEAD + "app.ERROR: text " + block + " {}").first()
+        assert (row.message, row.context, row.extra) == ("text", block, None)
+
+
+def test_marks_inside_a_line(spark):
+    row = parse(spark, HEAD + 'app.ERROR: a\x01b {"k":1} {"l":2}').first()
+    assert (row.message, row.context, row.extra) == ("a\x01b", '{"k":1}', '{"l":2}')
+
+
+def test_functions_are_callable_from_sql(spark):
+    register_functions(spark)
+    row = spark.sql(
+        """SELECT split_json_tail('m {"a":{"b":1}} []') p, mask_json('{"x":{"token":1}}') m"""
+    ).first()
+    assert (row.p.message, row.p.context, row.p.extra) == ("m", '{"a":{"b":1}}', None)
+    assert row.m == '{"x":{"token":"***"}}'
