@@ -26,7 +26,7 @@ from ..operators.fleet import (
 )
 from ..operators.search import view_rows
 from ..options import Options
-from .views import HOST_SQL, NOW, TIMING_SQL, host_view, now, table, timing_view
+from .views import HOST_SQL, TIMING_SQL, host_view, now, table, timing_view
 
 TRACKED = Options(tracked_statuses=(200,), slow_endpoint_ms=2.5)
 FLEET = Options(snapshot_ttl_s=7_200)

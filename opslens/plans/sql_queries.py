@@ -10,7 +10,6 @@ from ..operators.search import view_rows
 from ..operators.sqltrack import (
     as_deltas,
     explain_candidates,
-    find_issues,
     issue_brief,
     issue_rows,
     issues_of,
