@@ -6,14 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import linededup, simhash
 from .common import table
 
+# Keys as the operator makes them. DuckDB's trim takes a set of characters.
+OP10_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, text, UNNEST(string_split(COALESCE(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(COALESCE(text, ''), chr(10)), 1) AS n
+  FROM documents
+), keyed AS (
+  SELECT doc_id, n, line,
+         translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+), repeated AS (
+  SELECT key, MIN(doc_id) AS least FROM keyed WHERE length(key) >= 10
+  GROUP BY key HAVING COUNT(DISTINCT doc_id) >= 2
+)
+SELECT k.doc_id, COUNT(*) AS n_lines,
+       COUNT(*) FILTER (r.least < k.doc_id) AS n_dropped,
+       sha256(COALESCE(string_agg(k.line, chr(10) ORDER BY k.n)
+                       FILTER (r.least IS NULL OR r.least >= k.doc_id), '')) AS kept_sha256
+FROM keyed k LEFT JOIN repeated r ON r.key = k.key
+GROUP BY k.doc_id
+"""
+
 
 def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.linked(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op5_simhash_neardup": (op5_simhash_neardup, None),
+    "op10_line_dedup": (op10_line_dedup, OP10_SQL),
 }
