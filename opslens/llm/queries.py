@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, simhash
+from . import ledger, linededup, pii, simhash
 from .common import table
 
 # Keys as the operator makes them. DuckDB's trim takes a set of characters.
@@ -33,6 +33,52 @@ GROUP BY k.doc_id
 """
 
 
+OP3_SQL = r"""
+WITH w AS (
+  SELECT doc_id, COALESCE(text, '') AS text,
+         regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(words[i : i + 4], ' ') AS win
+  FROM (SELECT doc_id, words, UNNEST(range(1, len(words) - 3)) AS i FROM w WHERE len(words) > 4)
+), often AS (
+  SELECT doc_id, win FROM windows GROUP BY doc_id, win HAVING COUNT(*) > 1
+), covered AS (
+  SELECT doc_id, COUNT(*) AS n_repeat_words FROM (
+    SELECT DISTINCT doc_id, UNNEST(range(i, i + 5)) AS word FROM windows SEMI JOIN often USING (doc_id, win)
+  ) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, COUNT(*) AS n_lines, COUNT(*) - COUNT(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, UNNEST(string_split(text, chr(10))) AS line FROM w)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), measured AS (
+  SELECT w.doc_id, len(words)::BIGINT AS n_words,
+         length(array_to_string(words, ''))::BIGINT AS word_chars,
+         (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+         COALESCE(n_lines, 0)::BIGINT AS n_lines, COALESCE(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+         COALESCE(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+         len(list_filter(words, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]')))::BIGINT AS n_upper,
+         len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1]))::BIGINT AS n_stutter
+  FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
+), judged AS (
+  SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT
+         + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (2 * n_upper > n_words)::BIGINT
+         + 16 * (3 * n_stutter > n_words)::BIGINT + 32 * (2 * n_dup_lines > n_lines)::BIGINT
+         + 64 * (word_chars > 20 * n_words)::BIGINT AS failures
+  FROM measured
+)
+SELECT *, failures % 4 <> 0 AS base_failed, failures = 0 AS kept FROM judged
+"""
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.quality_report(table(spark, sf_dir, "documents"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.linked(table(spark, sf_dir, "documents"))
 
@@ -42,6 +88,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op3_quality_rules": (op3_quality_rules, OP3_SQL),
+    "op4_pii": (op4_pii, None),
     "op5_simhash_neardup": (op5_simhash_neardup, None),
     "op10_line_dedup": (op10_line_dedup, OP10_SQL),
 }
