@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ledger, linededup, pii, simhash
+from . import ledger, linededup, pii, simhash, suffixdedup
 from .common import table
 
 # Keys as the operator makes them. DuckDB's trim takes a set of characters.
@@ -71,6 +71,10 @@ SELECT *, failures % 4 <> 0 AS base_failed, failures = 0 AS kept FROM judged
 """
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.repeated_bytes(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.quality_report(table(spark, sf_dir, "documents"))
 
@@ -88,6 +92,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op2_suffix_dedup": (op2_suffix_dedup, None),
     "op3_quality_rules": (op3_quality_rules, OP3_SQL),
     "op4_pii": (op4_pii, None),
     "op5_simhash_neardup": (op5_simhash_neardup, None),
