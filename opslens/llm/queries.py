@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ledger, linededup, pii, simhash, suffixdedup
+from . import containment, ledger, linededup, mixing, pii, simhash, suffixdedup, urlfilter
 from .common import table
 
 # Keys as the operator makes them. DuckDB's trim takes a set of characters.
@@ -33,6 +33,72 @@ GROUP BY k.doc_id
 """
 
 
+# The formulas of the operator; only verdicts are compared, as sums of doubles depend on their order.
+OP1_SQL = r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), split AS (
+  SELECT page_id, translate(regexp_extract(COALESCE(rest, ''), '^[^/?#]*'),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(COALESCE(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path
+  FROM parts
+), rules(verdict, name, start) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+         ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), ruled AS (
+  SELECT s.*, (SELECT arg_max(struct_pack(rule := name || start, verdict := verdict), length(name || start))
+               FROM rules WHERE (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start)) AS r
+  FROM split s
+), outcome AS (
+  SELECT doc_id AS page_id, MAX((COALESCE(toxic = 1, FALSE) OR COALESCE(quality = 0, FALSE))::INT) AS bad
+  FROM labels GROUP BY doc_id
+), hosts AS (
+  SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain,
+         string_split(host, '.')[-1] AS suffix, COUNT(bad) AS n, COALESCE(SUM(bad), 0) AS k
+  FROM split LEFT JOIN outcome USING (page_id) GROUP BY host
+), r0 AS (
+  SELECT suffix, SUM(n) AS n, SUM(k) AS k,
+         (SELECT (SUM(k) + 1) / (SUM(n) + 2) FROM hosts) AS mean FROM hosts GROUP BY suffix
+), s0 AS (
+  SELECT SUM((k - n * mean) ^ 2 / n - mean * (1 - mean)) AS top, SUM(mean * (1 - mean) * (n - 1)) AS bottom
+  FROM r0 WHERE n > 0
+), p0 AS (
+  SELECT suffix, (k + s * mean) / (n + s) AS mean
+  FROM r0, (SELECT CASE WHEN COALESCE(top, 0) <= 0 OR bottom = 0 THEN 1e6
+                        ELSE least(greatest(bottom / top - 1, 1), 1e6) END AS s FROM s0)
+), r1 AS (
+  SELECT h.suffix, domain, SUM(n) AS n, SUM(k) AS k, p0.mean FROM hosts h JOIN p0 ON p0.suffix = h.suffix
+  GROUP BY h.suffix, domain, p0.mean
+), s1 AS (
+  SELECT SUM((k - n * mean) ^ 2 / n - mean * (1 - mean)) AS top, SUM(mean * (1 - mean) * (n - 1)) AS bottom
+  FROM r1 WHERE n > 0
+), p1 AS (
+  SELECT domain, (k + s * mean) / (n + s) AS mean
+  FROM r1, (SELECT CASE WHEN COALESCE(top, 0) <= 0 OR bottom = 0 THEN 1e6
+                        ELSE least(greatest(bottom / top - 1, 1), 1e6) END AS s FROM s1)
+), r2 AS (
+  SELECT host, n, k, p1.mean FROM hosts h JOIN p1 ON p1.domain = h.domain
+), s2 AS (
+  SELECT SUM((k - n * mean) ^ 2 / n - mean * (1 - mean)) AS top, SUM(mean * (1 - mean) * (n - 1)) AS bottom
+  FROM r2 WHERE n > 0
+), p2 AS (
+  SELECT host, n + s AS w, (k + s * mean) / (n + s) AS mean
+  FROM r2, (SELECT CASE WHEN COALESCE(top, 0) <= 0 OR bottom = 0 THEN 1e6
+                        ELSE least(greatest(bottom / top - 1, 1), 1e6) END AS s FROM s2)
+)
+SELECT page_id, ruled.host, path, r.rule AS rule,
+       COALESCE(r.verdict, CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (w + 1)) > 0.5
+                                THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled JOIN p2 ON p2.host = ruled.host
+"""
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = urlfilter.page_outcomes(table(spark, sf_dir, "labels"))
+    return urlfilter.judged(table(spark, sf_dir, "pages"), outcomes).drop("bad_rate", "bound")
+
+
 OP3_SQL = r"""
 WITH w AS (
   SELECT doc_id, COALESCE(text, '') AS text,
@@ -87,14 +153,45 @@ def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.linked(table(spark, sf_dir, "documents"))
 
 
+# The items' shingles anywhere in a document; no sketch needed at this size.
+OP7_SQL = r"""
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, lower(text) AS text FROM documents
+  UNION ALL SELECT 'b', item_id, lower(text) FROM benchmark
+), words AS (
+  SELECT kind, id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM texts WHERE text IS NOT NULL
+), shingles AS (
+  SELECT DISTINCT kind, id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT kind, id, w, UNNEST(range(1, len(w) - 3)) AS i FROM words WHERE len(w) > 4)
+), items AS (
+  SELECT id, s, COUNT(*) OVER (PARTITION BY id) AS n FROM shingles WHERE kind = 'b'
+)
+SELECT d.id AS doc_id, i.id AS item_id, COUNT(*) AS n_common, i.n AS n_shingles,
+       COUNT(*) / i.n AS containment
+FROM shingles d JOIN items i USING (s) WHERE d.kind = 'd'
+GROUP BY d.id, i.id, i.n HAVING 5 * COUNT(*) >= 4 * i.n
+"""
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_url_filter": (op1_url_filter, OP1_SQL),
     "op2_suffix_dedup": (op2_suffix_dedup, None),
     "op3_quality_rules": (op3_quality_rules, OP3_SQL),
     "op4_pii": (op4_pii, None),
     "op5_simhash_neardup": (op5_simhash_neardup, None),
+    "op7_decontamination": (op7_decontamination, OP7_SQL),
+    "op9_mixing": (op9_mixing, None),
     "op10_line_dedup": (op10_line_dedup, OP10_SQL),
 }
