@@ -14,6 +14,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import byte_list
 
@@ -94,7 +95,7 @@ def measure(text: bytes) -> tuple[int, ...]:
     )
 
 
-@F.arrow_udf("struct<" + ",".join(f"{m}:bigint" for m in MEASURES) + ">")
+@F.arrow_udf(StructType([StructField(m, LongType()) for m in MEASURES]))
 def measures(text: pa.Array) -> pa.Array:
     rows = [measure(t) for t in byte_list(text)]
     columns = [pa.array([row[i] for row in rows], pa.int64()) for i in range(len(MEASURES))]

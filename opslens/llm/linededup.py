@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import byte_list, order_id, stored
 
@@ -159,14 +160,23 @@ def probe_shard(lines: pa.Table, shard: pa.Table) -> pa.Table:
     return lines.select(["doc", "mark", "line"]).filter(pa.array(drop))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def without_lines(text: pa.Array, numbers: pa.Array) -> pa.Array:
     """The text without the lines of these numbers."""
     kept = [b"\n".join(kept_lines(t, n)) for t, n in zip(byte_list(text), numbers.to_pylist())]
     return pa.array(kept, pa.binary()).cast(pa.string())
 
 
-@F.arrow_udf("struct<n_lines bigint, n_dropped bigint, kept_sha256 string>")
+DIGEST = StructType(
+    [
+        StructField("n_lines", LongType()),
+        StructField("n_dropped", LongType()),
+        StructField("kept_sha256", StringType()),
+    ]
+)
+
+
+@F.arrow_udf(DIGEST)
 def line_digest(text: pa.Array, numbers: pa.Array) -> pa.Array:
     rows = []
     for t, n in zip(byte_list(text), numbers.to_pylist()):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import containment, ledger, linededup, mixing, pii, simhash, suffixdedup, urlfilter
+from . import containment, ledger, linededup, mainhtml, mixing, pii, simhash, suffixdedup, urlfilter, warc
 from .common import table
 
 # Keys as the operator makes them. DuckDB's trim takes a set of characters.
@@ -153,6 +153,26 @@ def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.linked(table(spark, sf_dir, "documents"))
 
 
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(COALESCE(html, '')))::BIGINT AS payload_bytes,
+         sha1(COALESCE(html, '')) AS payload_digest
+  FROM pages
+), k AS (
+  SELECT payload_digest, MAX(page_id) AS keep FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM COALESCE(keep, page_id) THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM COALESCE(keep, page_id) THEN keep END AS refers_to
+FROM p LEFT JOIN k USING (payload_digest)
+"""
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 # The items' shingles anywhere in a document; no sketch needed at this size.
 OP7_SQL = r"""
 WITH texts AS (
@@ -177,6 +197,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainhtml.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -191,7 +215,9 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op3_quality_rules": (op3_quality_rules, OP3_SQL),
     "op4_pii": (op4_pii, None),
     "op5_simhash_neardup": (op5_simhash_neardup, None),
+    "op6_warc": (op6_warc, OP6_SQL),
     "op7_decontamination": (op7_decontamination, OP7_SQL),
+    "op8_main_text": (op8_main_text, None),
     "op9_mixing": (op9_mixing, None),
     "op10_line_dedup": (op10_line_dedup, OP10_SQL),
 }

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import LongType
 
 from .common import byte_list, components, lookup, stored
 
@@ -58,7 +59,7 @@ def fingerprint(text: bytes) -> int:
     return value - (value >> 63 << 64)
 
 
-@F.arrow_udf("bigint")
+@F.arrow_udf(LongType())
 def fingerprint_of(text: pa.Array) -> pa.Array:
     return pa.array([fingerprint(t) for t in byte_list(text)], pa.int64())
 
