@@ -34,6 +34,11 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("bigint")
 
 
+def exact_sum(values: Column) -> Column:
+    """A sum that does not depend on the order of the rows, so that reruns agree."""
+    return F.sum(values.cast("decimal(38,9)")).cast("double")
+
+
 def source_targets(sources: DataFrame) -> DataFrame:
     """``sources`` (SOURCE, source_size, ...) with ``weight`` and ``target``.
 
@@ -94,8 +99,8 @@ def tilts(cells: DataFrame, sources: DataFrame) -> DataFrame:
         raw = F.exp(F.col("tilt") * x)
         words = F.col("n") * F.col("size") * F.least(raw, F.lit(float(CAP)))
         steps = cells.where("size > 0").join(state, SOURCE).groupBy(*state.columns).agg(
-            F.sum(words).alias("got"),
-            F.sum(F.when(raw < CAP, words * x).otherwise(0.0)).alias("slope"),
+            exact_sum(words).alias("got"),
+            exact_sum(F.when(raw < CAP, words * x).otherwise(0.0)).alias("slope"),
         )
         miss = F.col("got") - F.col("target")
         low = F.when(miss < 0, F.col("tilt")).otherwise(F.col("low"))

@@ -12,7 +12,7 @@ _KNOWN: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, count: int) -> np.ndarray:
-    if len(_KNOWN.get(base, ())) < count:
+    if base not in _KNOWN or len(_KNOWN[base]) < count:
         out = np.full(max(count, 1 << 16), base, np.uint64)
         out[0] = 1
         _KNOWN[base] = np.multiply.accumulate(out)

@@ -63,7 +63,8 @@ def strength(rates: DataFrame) -> float:
     """
     v = F.col("mean") * (1 - F.col("mean"))
     excess = F.pow(F.col("k") - F.col("n") * F.col("mean"), 2) / F.col("n") - v
-    top, bottom = rates.where("n > 0").agg(F.sum(excess), F.sum(v * (F.col("n") - 1))).first()
+    sums = [F.sum(c.cast("decimal(38,9)")).cast("double") for c in (excess, v * (F.col("n") - 1))]
+    top, bottom = rates.where("n > 0").agg(*sums).first()
     if not top or not bottom or top <= 0:
         return STRONGEST
     return min(max(bottom / top - 1, WEAKEST), STRONGEST)

@@ -226,6 +226,9 @@ def read_record(text: bytes) -> tuple:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """All records of normalised archives, each inflated by itself from its place in the index."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kind=index")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):  # no records at all
+        return spark.createDataFrame([], RECORD)
     index = spark.read.option("lineSep", "\0").text(f"{path}/kind=index")
     places = index.select(
         "archive", F.from_json("value", "offset bigint, length bigint").alias("p")
