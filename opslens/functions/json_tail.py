@@ -1,8 +1,4 @@
-"""The two Arrow UDFs: balanced JSON tails and masking of nested JSON.
-
-Balanced nesting and recursive masking are beyond regular expressions; everything else in the
-package is a built-in expression.
-"""
+"""Masking of nested JSON, as an Arrow UDF: recursive masking is beyond regular expressions."""
 
 from __future__ import annotations
 
@@ -13,7 +9,7 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import pandas_udf
 
-from ..schemas import STRING, struct
+from ..schemas import STRING
 
 # A parameter whose name contains one of these is masked.
 SENSITIVE_FRAGMENTS = (
@@ -31,48 +27,6 @@ SENSITIVE_FRAGMENTS = (
 MASK = "***"
 
 _SENSITIVE = re.compile("|".join(SENSITIVE_FRAGMENTS))
-_JSON_MARK = re.compile(r'\\.|["{}]', re.DOTALL)
-
-
-def peel_block(text: str, empty_lists: bool = True) -> tuple[str | None, str]:
-    """Cut the balanced ``{...}`` (or empty ``[]``) that ends ``text``: (block, text before it)."""
-    text = text.rstrip()
-    if empty_lists and text.endswith("[]"):
-        return "[]", text[:-2]
-    if not text.endswith("}"):
-        return None, text
-    depth, quoted = 0, False
-    for mark in reversed(list(_JSON_MARK.finditer(text))):
-        sign = mark.group()
-        if sign == '"':
-            quoted = not quoted
-        elif not quoted and sign in "{}":
-            depth += 1 if sign == "}" else -1
-            if depth == 0:
-                return text[mark.start() :], text[: mark.start()]
-    return None, text
-
-
-def split_tail(rest: str, empty_lists: bool = True) -> tuple[str, str | None, str | None]:
-    """(message, context, extra) of the text after a log header."""
-    last, before = peel_block(rest.strip(), empty_lists)
-    if last is None:
-        return before.strip(), None, None
-    first, head = peel_block(before, empty_lists)
-    if first is None:
-        first, last = last, None
-    blank = ("{}", "[]", None)
-    return (
-        head.strip(),
-        None if first in blank or not first[1:-1].strip() else first,
-        None if last in blank or not last[1:-1].strip() else last,
-    )
-
-
-@pandas_udf(struct(message=STRING, context=STRING, extra=STRING))
-def split_json_tail(rest: pd.Series) -> pd.DataFrame:
-    parts = [(None, None, None) if r is None else split_tail(r) for r in rest]
-    return pd.DataFrame(parts, columns=["message", "context", "extra"])
 
 
 def mask_value(value):
@@ -92,7 +46,8 @@ def mask_json_text(text: str | None) -> str | None:
     try:
         return json.dumps(mask_value(json.loads(text)), separators=(",", ":"), ensure_ascii=False)
     except ValueError:
-        return None
+        # What can't be read can't be searched for secrets: it is masked whole.
+        return f'"{MASK}"'
 
 
 @pandas_udf(STRING)
@@ -101,6 +56,5 @@ def mask_json(params: pd.Series) -> pd.Series:
 
 
 def register_functions(spark: SparkSession) -> None:
-    """Make both UDFs callable from SQL."""
-    spark.udf.register("split_json_tail", split_json_tail)
+    """Make masking callable from SQL."""
     spark.udf.register("mask_json", mask_json)

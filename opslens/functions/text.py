@@ -52,12 +52,6 @@ def empty_to_null(value: Column | str) -> Column:
     return F.nullif(as_col(value), F.lit(""))
 
 
-def json_or_null(value: Column | str) -> Column:
-    """JSON text of a map for storage; an empty map becomes null."""
-    c = as_col(value)
-    return F.when(F.size(c) > 0, F.to_json(c))
-
-
 def collapse_spaces(value: Column | str) -> Column:
     return F.regexp_replace(as_col(value), r"\s+", " ")
 
@@ -123,11 +117,17 @@ def kb_map(text: Column | str) -> Column:
     """``Key:  N kB`` lines as a map of key to N."""
     c = as_col(text)
     line = F.lit(r"(?m)^(\w+):\s+(\d+)\s+kB")
-    # The first value of a repeated key would differ; such texts hold each key once.
-    return F.map_from_arrays(
-        F.regexp_extract_all(c, line, F.lit(1)),
-        F.transform(F.regexp_extract_all(c, line, F.lit(2)), lambda x: x.cast("bigint")),
+    keys = F.regexp_extract_all(c, line, F.lit(1))
+    values = F.transform(F.regexp_extract_all(c, line, F.lit(2)), lambda x: x.cast("bigint"))
+    # Of a repeated key the last value counts.
+    pairs = F.filter(
+        F.arrays_zip(keys.alias("k"), values.alias("v"), F.sequence(F.lit(1), F.greatest(F.size(keys), F.lit(1))).alias("i")),
+        lambda p: p["k"].isNotNull(),
     )
+    last = F.filter(
+        pairs, lambda p: ~F.exists(pairs, lambda q: (q["k"] == p["k"]) & (q["i"] > p["i"]))
+    )
+    return F.map_from_arrays(F.transform(last, lambda p: p["k"]), F.transform(last, lambda p: p["v"]))
 
 
 def message_key(
@@ -142,8 +142,13 @@ def message_key(
 
 
 _FRAGMENTS = "|".join(SENSITIVE_FRAGMENTS)
-_HAS_FRAGMENT = f"(?i)(?:{_FRAGMENTS})"
-_FLAT_OBJECT = r"\A\s*\{[^{}\[\]]*\}\s*\z"
+# A name may be spelt with escapes, which only a parser reads.
+_HAS_FRAGMENT = rf"(?i)(?:{_FRAGMENTS})|\\u"
+# One object of plain names and values, as JSON has them, without a backslash in it.
+_FLAT_VALUE = r'(?:"[^"\\]*+"|true|false|null|-?[0-9]++(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?)'
+_FLAT_OBJECT = (
+    rf'\A\s*+\{{\s*+(?:"[^"\\]*+"\s*+:\s*+{_FLAT_VALUE}\s*+(?:,\s*+(?=")|(?=\}})))*+\}}\s*+\z'
+)
 _FLAT_PAIR = (
     rf'(?i)("[^"\\]*(?:{_FRAGMENTS})[^"\\]*"\s*:\s*)'
     r'(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^",{}\[\]\s]+)'
@@ -153,8 +158,9 @@ _FLAT_PAIR = (
 def mask_params(params_json: Column | str) -> Column:
     """Parameters with the values of sensitive names masked, as JSON text.
 
-    Texts without a sensitive name pass untouched and flat objects are masked in place; only nested
-    ones reach Python. Positional lists carry no names, so nothing in them is masked.
+    Texts without a sensitive name pass untouched and flat objects are masked in place; nested ones,
+    escaped names and what is not JSON go through a parser. Positional lists carry no names, so
+    nothing in them is masked; a text that can't be read is masked whole.
     """
     c = as_col(params_json)
     suspect = c.rlike(_HAS_FRAGMENT)
@@ -167,7 +173,9 @@ def mask_params(params_json: Column | str) -> Column:
 
 
 def params_fingerprint(masked_json: Column | str) -> Column:
-    return F.md5(F.coalesce(as_col(masked_json), F.lit("null")))
+    """Hash of the parameters; white space between values does not count, the order of names does."""
+    c = F.coalesce(as_col(masked_json), F.lit("null"))
+    return F.md5(F.regexp_replace(c, r'("(?:[^"\\]++|\\.)*+")|\s+', "$1"))
 
 
 def number_text(value: Column | str) -> Column:

@@ -141,10 +141,12 @@ def throughput_labels(
 
 def _last_labels(counted: DataFrame, opts: Options) -> DataFrame:
     newest = Window.partitionBy("file").orderBy(F.desc_nulls_last("label"))
+    most = opts.throughput_minutes
+    shown = F.lit(True) if most is None else F.col("_rank") <= most
     return (
         counted.withColumn("total_lines", F.sum("lines").over(Window.partitionBy("file")))
         .withColumn("_rank", F.row_number().over(newest))
-        .where(F.col("label").isNotNull() & (F.col("_rank") <= opts.throughput_minutes))
+        .where(F.col("label").isNotNull() & shown)
         .withColumn("max_lines", F.max("lines").over(Window.partitionBy("file")))
         .select("file", "label", "lines", "max_lines", "total_lines")
     )

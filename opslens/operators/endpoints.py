@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import path_template
 from ..options import DEFAULTS, Options
-from .ordering import last_known, top_per_group
-
-# Samples that can still move the running average: older ones weigh less than 2^-64.
-EMA_SAMPLES = 64
+from .ordering import last_known
 
 
 def tracked(samples: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
@@ -42,59 +37,55 @@ def endpoint_deltas(samples: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Statistics of one batch per (path, type), in the shape that merges.
 
     The average halves its distance to every new sample, so over samples x1..xn it is the sum of
-    xi * 2^-(n-i+1), plus x1 * 2^-n for the first sample, which starts it. ``ema_part`` is the sum,
-    over the newest samples; with the first sample and the count it can be continued by a later batch.
-    ``by`` keeps further columns apart, such as a batch number.
+    xi * 2^-(n-i+1), plus x1 * 2^-n for the first sample, which starts it. ``ema_part`` is the sum;
+    with the first sample and the count it can be continued by a later batch. Samples are ranked
+    within an hour of an endpoint, and the hours' sums are put together by how many samples came
+    later, so that a busy endpoint is worked on in parallel. ``by`` keeps further columns apart, such
+    as a batch number.
     """
-    # One number orders (ts, seq), so that the aggregate keeps fixed-width state and hashes.
-    order = F.unix_micros("ts").cast("decimal(19,0)") * F.lit(Decimal(10**19)) + F.col("seq")
     keys = [*by, "path", "type"]
-    totals = samples.groupBy(*keys).agg(
+    hour = F.date_trunc("hour", F.col("ts"))
+    part = [*keys, "hour"]
+    aged = samples.withColumn("hour", hour).withColumn(
+        "age", F.row_number().over(Window.partitionBy(*part).orderBy(F.desc("ts"), F.desc("seq")))
+    )
+    hours = aged.groupBy(*part).agg(
+        F.sum(F.col("ms") * F.pow(F.lit(2.0), -F.col("age"))).alias("ema_part"),
+        F.max_by("ms", "age").alias("first_ms"),
         F.min("ms").alias("min_ms"),
         F.max("ms").alias("max_ms"),
         F.count(F.lit(1)).alias("requests"),
         F.max("ts").alias("last_seen"),
-        last_known("status", order).alias("last_status"),
-    )
-    newest = top_per_group(
-        samples.select(*keys, "ms", "ts", "seq"),
-        keys,
-        [F.desc("ts"), F.desc("seq")],
-        EMA_SAMPLES,
-        "age",
-    )
-    averages = newest.groupBy(*keys).agg(
-        F.sum(F.col("ms") * F.pow(F.lit(2.0), -F.col("age"))).alias("ema_part"),
-        # The first sample of all while there are no more than these, and of no weight otherwise.
-        F.max_by("ms", "age").alias("first_ms"),
-    )
-    return totals.join(averages, keys).select(
-        *keys, "ema_part", "first_ms", "min_ms", "max_ms", "requests", "last_seen", "last_status"
+        F.min_by("status", F.when(F.col("status").isNotNull(), F.col("age"))).alias("last_status"),
     )
+    return _folded(hours, keys, "hour")
 
 
-def merge_endpoints(deltas: DataFrame) -> DataFrame:
-    """Fold batches (numbered by ``version``) into one row per endpoint."""
-    keys = ["path", "type"]
+def _folded(parts: DataFrame, keys: list[str], order: str, *more: Column) -> DataFrame:
+    """Statistics of consecutive parts, in the order of a column, as those of all together."""
     later = (
-        Window.partitionBy(*keys)
-        .orderBy(F.desc("version"))
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
     )
-    # One row per endpoint and batch: the window covers as many rows as there are unfolded batches.
-    aged = deltas.withColumn("_later", F.coalesce(F.sum("requests").over(later), F.lit(0)))
+    aged = parts.withColumn("_later", F.coalesce(F.sum("requests").over(later), F.lit(0)))
     return aged.groupBy(*keys).agg(
         F.sum(F.col("ema_part") * F.pow(F.lit(2.0), -F.col("_later"))).alias("ema_part"),
-        F.min_by("first_ms", "version").alias("first_ms"),
+        F.min_by("first_ms", order).alias("first_ms"),
         F.min("min_ms").alias("min_ms"),
         F.max("max_ms").alias("max_ms"),
         F.sum("requests").alias("requests"),
         F.max("last_seen").alias("last_seen"),
-        last_known("last_status", F.col("version")).alias("last_status"),
-        F.max("version").alias("version"),
+        last_known("last_status", F.col(order)).alias("last_status"),
+        *more,
     )
 
 
+def merge_endpoints(deltas: DataFrame) -> DataFrame:
+    """Fold batches (numbered by ``version``) into one row per endpoint."""
+    # One row per endpoint and batch: the window covers as many rows as there are unfolded batches.
+    keys = ["path", "type"]
+    return _folded(deltas, keys, "version", F.max("version").alias("version"))
+
+
 def endpoint_rows(merged: DataFrame) -> DataFrame:
     """The endpoint table as it is read."""
     ema = F.col("ema_part") + F.col("first_ms") * F.pow(F.lit(2.0), -F.col("requests"))

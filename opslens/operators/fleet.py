@@ -97,15 +97,16 @@ def cpu_usage(snapshots: DataFrame) -> DataFrame:
     Clamped to 0..100, one decimal; 0 without an earlier snapshot or without progress. Days are
     worked on in parallel, each taking over the last counters of the day before.
     """
+    counters = F.struct(F.col("cpu.total").alias("total"), F.col("cpu.idle").alias("idle"))
     rows = snapshots.select(
         "instance_id",
         "collected_at",
         F.to_date("collected_at").alias("day"),
-        F.struct(F.col("cpu.total").alias("total"), F.col("cpu.idle").alias("idle")).alias("counters"),
-    )
-    seen = carry_forward(
-        rows, ["instance_id"], ["day"], "collected_at", "counters", "before", inclusive=False
+        counters.alias("counters"),
+        # Snapshots of one time are ordered by their counters, which only grow.
+        F.struct("collected_at", counters).alias("at"),
     )
+    seen = carry_forward(rows, ["instance_id"], ["day"], "at", "counters", "before", inclusive=False)
     total = F.col("counters.total") - F.col("before.total")
     idle = F.col("counters.idle") - F.col("before.idle")
     busy = F.least(F.lit(100.0), F.greatest(F.lit(0.0), (1.0 - idle / total) * 100.0))
@@ -151,42 +152,87 @@ def top_processes(snapshots: DataFrame, n: int = TOP_PROCESSES) -> DataFrame:
     )
 
 
+# Reports are throttled within pieces of this many seconds.
+PIECE_S = 86_400
+
+
+def _through(times: np.ndarray, at: int, wait: int) -> list[int]:
+    """From sorted seconds: the first from ``at`` on, then each first one ``wait`` or more later."""
+    kept = []
+    place = int(np.searchsorted(times, at))
+    while place < len(times):
+        kept.append(int(times[place]))
+        place = int(np.searchsorted(times, times[place] + wait))
+    return kept
+
+
 @pandas_udf(ArrayType(LongType()))
-def let_through(seconds: pd.Series, interval: pd.Series) -> pd.Series:
-    """From sorted seconds: the first, then each time the first one an interval or more later."""
+def leaving(seconds: pd.Series, start: pd.Series, wait: pd.Series) -> pd.Series:
+    """For each second a piece may be closed until, counted from its start: the second from which
+    reports are taken again after it."""
+
+    def ends(times: np.ndarray, begin: int, interval: int) -> list[int]:
+        # The last accepted report follows from the first one: found from the end backwards.
+        following = np.searchsorted(times, times + interval)
+        free = np.empty(len(times) + 1, np.int64)
+        free[len(times)] = -1
+        for i in range(len(times) - 1, -1, -1):
+            after = following[i]
+            free[i] = times[i] + interval if after == len(times) else free[after]
+        first = np.searchsorted(times, begin + np.arange(interval))
+        return [int(free[p]) if p < len(times) else int(begin + e) for e, p in enumerate(first)]
 
-    def fold(times: np.ndarray, wait: int) -> list[int]:
-        kept, at = [], 0
-        while at < len(times):
-            kept.append(int(times[at]))
-            at = int(np.searchsorted(times, times[at] + wait))
-        return kept
+    return pd.Series([ends(np.asarray(t), b, w) for t, b, w in zip(seconds, start, wait)])
 
-    return pd.Series([fold(np.asarray(t), w) for t, w in zip(seconds, interval)])
+
+@pandas_udf(ArrayType(LongType()))
+def let_through(seconds: pd.Series, since: pd.Series, wait: pd.Series) -> pd.Series:
+    return pd.Series([_through(np.asarray(t), s, w) for t, s, w in zip(seconds, since, wait)])
 
 
 def accepted_reports(reports: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
     """Reports let through by the throttle: one per instance and interval, counted from the last
     one accepted.
 
-    Times count in whole seconds, so an instance holds at most one entry per second however many
-    reports it sends. A pause of an interval ends every wait, so the stretches between pauses are
-    folded independently of each other.
+    Times count in whole seconds. A piece of an instance's time (a day, or the interval if that is
+    longer) may be entered closed for up to an interval; where each of these cases leaves it is
+    worked out per piece, then the cases are followed from piece to piece, and every piece lets
+    through what its own case does. No task sees more than a piece of an instance, besides one short
+    list per piece.
     """
     interval = opts.report_interval_s
+    piece = max(PIECE_S, interval)
     seconds = reports.select(
         "instance_id", F.unix_seconds(F.col("collected_at").cast("timestamp")).alias("second")
-    ).distinct()
-    along = Window.partitionBy("instance_id").orderBy("second")
-    pause = F.col("second") - F.lag("second").over(along) >= interval
-    stretches = (
-        seconds.withColumn("pause", F.coalesce(pause, F.lit(True)))
-        .withColumn("stretch", F.last(F.when(F.col("pause"), F.col("second")), True).over(along))
-        .groupBy("instance_id", "stretch")
-        .agg(F.sort_array(F.collect_list("second")).alias("seconds"))
+    ).where(F.col("second").isNotNull())
+    start = (F.floor(F.col("second") / piece) * piece).cast("bigint")
+    pieces = (
+        seconds.groupBy("instance_id", start.alias("start"))
+        .agg(F.sort_array(F.collect_set("second")).alias("seconds"))
+    )
+    ends = pieces.select("instance_id", "start", leaving("seconds", "start", F.lit(interval)).alias("ends"))
+    ordered = ends.groupBy("instance_id").agg(
+        F.sort_array(F.collect_list(F.struct("start", "ends"))).alias("pieces")
     )
 
-    kept = let_through("seconds", F.lit(interval))
-    return stretches.select("instance_id", F.explode(kept).alias("second")).select(
-        "instance_id", F.timestamp_seconds("second").alias("accepted_at")
+    def follow(done: Column, step: Column) -> Column:
+        closed = F.greatest(F.lit(0).cast("bigint"), done["free"] - step["start"])
+        free = F.element_at(step["ends"], (closed + 1).cast("int"))
+        entry = F.struct(step["start"].alias("start"), F.greatest(done["free"], step["start"]).alias("since"))
+        return F.struct(free.alias("free"), F.array_append(done["entries"], entry).alias("entries"))
+
+    begin = F.struct(
+        F.lit(-(2**62)).cast("bigint").alias("free"),
+        F.array().cast("array<struct<start:bigint,since:bigint>>").alias("entries"),
+    )
+    entries = ordered.select(
+        "instance_id", F.inline(F.aggregate("pieces", begin, follow)["entries"])
+    )
+    same = [F.col("p.instance_id").eqNullSafe(F.col("e.instance_id")), F.col("p.start") == F.col("e.start")]
+    kept = let_through("seconds", "since", F.lit(interval))
+    return (
+        pieces.alias("p")
+        .join(entries.alias("e"), same)
+        .select("p.instance_id", F.explode(kept).alias("second"))
+        .select("instance_id", F.timestamp_seconds("second").alias("accepted_at"))
     )

@@ -12,9 +12,6 @@ SLICES = 64
 # Rows per chunk when a carried value runs along a file: 2^20 consecutive sequence numbers.
 CHUNK_BITS = 20
 
-# Most keys held by the driver and broadcast.
-BROADCAST_KEYS = 100_000
-
 
 def last_known(value: str, order: Column) -> Column:
     """Aggregate: the last ``value`` that is not null (rows without an order do not take part)."""
@@ -25,14 +22,17 @@ def top_per_group(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    n: int,
+    n: int | None,
     rank: str | None = None,
 ) -> DataFrame:
-    """First ``n`` rows of every group under ``order``, which should be total.
+    """First ``n`` rows of every group under ``order``, which should be total (None: all rows).
 
     Each input split ships at most ``n`` rows per group. A group spread over very many splits is
     first ranked in slices (all rows of a split share one), so no task sees it whole.
     """
+    if n is None:
+        in_group = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(rank, F.row_number().over(in_group)) if rank else df
     if not keys:
         out = df.orderBy(*order).limit(n)
         if rank:
@@ -51,43 +51,23 @@ def top_per_group(
     return out if rank else out.drop(name)
 
 
-def last_lines(df: DataFrame, n: int, file: str = "file") -> DataFrame:
-    """Last ``n`` lines of every file in line order."""
+def last_lines(df: DataFrame, n: int | None, file: str = "file") -> DataFrame:
+    """Last ``n`` lines of every file in line order (None: all)."""
     return top_per_group(df, [file], [F.desc("block"), F.desc("seq")], n)
 
 
 def first_per_request(
-    df: DataFrame, n: int, request: str = "request_id", order: str = "seq"
+    df: DataFrame, n: int | None, request: str = "request_id", order: str = "seq"
 ) -> DataFrame:
-    """First ``n`` samples of every request.
+    """First ``n`` samples of every request (None: all); samples without a request count as one.
 
-    Few requests have more than ``n``. They are found by a count over one column, and only they are
-    ranked; the rest of the rows is not shuffled for it.
+    Each input split keeps at most ``n`` rows of a request before the one exchange, by request, which
+    later groupings under the request reuse.
     """
-    over = (
-        df.groupBy(request)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > n)
-        .select(request)
-    )
-    few = broadcast_if_few(over)
-    if few is None:
+    if n is None:
         return df
-    ranked = top_per_group(df.join(few, request, "left_semi"), [request], [F.asc(order)], n)
-    return df.join(few, request, "left_anti").unionByName(ranked)
-
-
-def broadcast_if_few(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame | None:
-    """``keys`` marked for broadcast if there are at most ``most`` rows, else as they are.
-
-    None if there are none. At most ``most`` + 1 rows reach the driver.
-    """
-    rows = keys.limit(most + 1).collect()
-    if not rows:
-        return None
-    if len(rows) > most:
-        return keys
-    return F.broadcast(keys.sparkSession.createDataFrame(rows, keys.schema))
+    first = F.row_number().over(Window.partitionBy(request).orderBy(order))
+    return df.withColumn("_place", first).where(F.col("_place") <= n).drop("_place")
 
 
 def with_chunk(df: DataFrame, seq: str = "seq", bits: int = CHUNK_BITS) -> DataFrame:

@@ -36,8 +36,10 @@ def level_lines(level: str, exact: bool = True) -> Column:
     return F.col("line").rlike(rf"{'[.]' if exact else '.'}{level.upper()}:")
 
 
-def grep(lines: DataFrame, predicate: Column, limit: int = DEFAULTS.grep_limit_per_file) -> DataFrame:
-    """Last ``limit`` matching lines of every file."""
+def grep(
+    lines: DataFrame, predicate: Column, limit: int | None = DEFAULTS.grep_limit_per_file
+) -> DataFrame:
+    """Last ``limit`` matching lines of every file (None: all)."""
     return last_lines(lines.where(predicate), limit)
 
 
@@ -50,7 +52,8 @@ def grep_files(
         lines.where(F.col("file").isin(*files)), predicate, opts.grep_limit_per_file
     ).withColumn("file_rank", rank)
     newest = [F.desc("file_rank"), F.desc("block"), F.desc("seq")]
-    return hits.orderBy(*newest).limit(opts.grep_limit_total)
+    ordered = hits.orderBy(*newest)
+    return ordered if opts.grep_limit_total is None else ordered.limit(opts.grep_limit_total)
 
 
 def contains_any_case(lines: DataFrame, term: str) -> DataFrame:
@@ -110,13 +113,16 @@ def search_records(
 
 
 def table_tail(
-    records: DataFrame, after_id: int = 0, limit: int = DEFAULTS.table_tail_limit, id: str = "id"
+    records: DataFrame, after_id: int = 0, limit: int | None = DEFAULTS.table_tail_limit, id: str = "id"
 ) -> DataFrame:
     """Newest rows, or with ``after_id`` the oldest rows beyond it; always shown newest first."""
-    limit = max(1, min(500, limit))
     if after_id > 0:
-        return records.where(F.col(id) > after_id).orderBy(F.asc(id)).limit(limit).orderBy(F.desc(id))
-    return records.orderBy(F.desc(id)).limit(limit)
+        records = records.where(F.col(id) > after_id)
+        if limit is not None:
+            records = records.orderBy(F.asc(id)).limit(limit)
+        return records.orderBy(F.desc(id))
+    newest = records.orderBy(F.desc(id))
+    return newest if limit is None else newest.limit(limit)
 
 
 # Columns a table view may be sorted by, and its default order.
@@ -142,7 +148,10 @@ def view_rows(
     descending: bool = True,
     limit: int | None = None,
 ) -> DataFrame:
-    """A table view: equality and substring filters, one allowed sort column, an optional page."""
+    """A table view: equality and substring filters, one allowed sort column, an optional page.
+
+    Ties are ordered by the other sortable columns, so that a page is the same on every call.
+    """
     allowed, default = SORTABLE[view]
     sort = sort or default
     if sort not in allowed:
@@ -151,7 +160,8 @@ def view_rows(
         df = df.where(F.col(name) == F.lit(wanted))
     for name, text in (contains or {}).items():
         df = df.where(F.col(name).contains(text))
-    ordered = df.orderBy(F.desc(sort) if descending else F.asc(sort))
-    return ordered.limit(limit) if limit else ordered
+    ties = [F.asc(c) for c in allowed if c != sort and c in df.columns]
+    ordered = df.orderBy(F.desc(sort) if descending else F.asc(sort), *ties)
+    return ordered if limit is None else ordered.limit(limit)
 
 

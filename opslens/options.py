@@ -1,49 +1,46 @@
-"""Options of the operators: defaults and the ranges they are clamped to."""
+"""Options of the operators: defaults and the least values that make sense."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass
 
-# Fixed values: (lowest, highest) accepted value per option; None = open.
-RANGES: dict[str, tuple[float | None, float | None]] = {
-    "tail_lines": (10, 1000),
-    "reload_lines": (10, 10_000),
-    "exception_scan_lines": (100, 100_000),
-    "repeat_scan_lines": (100, 100_000),
-    "throughput_scan_lines": (100, 50_000),
-    "grep_limit": (10, 10_000),
-    "grep_limit_per_file": (10, 2_000),
-    "batch_records": (1, None),
-    "key_length": (10, 255),
-    "n1_threshold": (2, None),
-    "slow_sql_ms": (1.0, None),
-    "report_interval_s": (5, 300),
-    "retention_hours": (1, None),
-    "max_table_mb": (1, None),
-    "truncate_every_min": (1, None),
-    "table_tail_limit": (1, 500),
+# Least accepted value per option. No option has a greatest one.
+LEAST: dict[str, float] = {
+    "exception_scan_lines": 1,
+    "repeat_scan_lines": 1,
+    "throughput_scan_lines": 1,
+    "grep_limit_per_file": 1,
+    "grep_limit_total": 1,
+    "key_length": 1,
+    "n1_threshold": 1,
+    "slow_sql_ms": 0.0,
+    "samples_per_request": 1,
+    "report_interval_s": 1,
+    "retention_hours": 1,
+    "max_table_mb": 1,
+    "table_tail_limit": 1,
+    "exception_groups": 1,
+    "repeat_groups": 1,
+    "throughput_minutes": 1,
 }
 
 
 @dataclass(frozen=True)
 class Options:
-    tail_lines: int = 100
-    reload_lines: int = 100
-    exception_scan_lines: int = 10_000
-    repeat_scan_lines: int = 10_000
-    throughput_scan_lines: int = 5_000
-    grep_limit: int = 100
-    grep_limit_per_file: int = 500
-    grep_limit_total: int = 2_000
-    grep_window_bytes: int = 50 * 1024 * 1024
+    """A limit of None means no limit."""
+
+    exception_scan_lines: int | None = 10_000
+    repeat_scan_lines: int | None = 10_000
+    throughput_scan_lines: int | None = 5_000
+    grep_limit_per_file: int | None = 500
+    grep_limit_total: int | None = 2_000
     min_level: str = "WARNING"
-    batch_records: int = 100
     flush_ms: int = 2_000
     grouping: bool = True
     key_length: int = 30
     n1_threshold: int = 5
     slow_sql_ms: float = 10.0
-    samples_per_request: int = 500
+    samples_per_request: int | None = 500
     tracked_statuses: tuple[int, ...] = (200,)
     track_cli: bool = True
     track_mq: bool = True
@@ -52,27 +49,19 @@ class Options:
     snapshot_ttl_s: int = 1_800
     retention_hours: int = 24
     max_table_mb: int = 500
-    truncate_every_min: int = 15
     channels: tuple[str, ...] = ()
-    context_trim: int = 100
-    table_tail_limit: int = 50
-    spike_lines: int = 500
+    table_tail_limit: int | None = 50
+    spike_lines: int | None = 500
     spike_threshold: int = 20
-    exception_groups: int = 50
-    repeat_groups: int = 200
-    throughput_minutes: int = 60
+    exception_groups: int | None = 50
+    repeat_groups: int | None = 200
+    throughput_minutes: int | None = 60
 
     def __post_init__(self) -> None:
-        for field in fields(self):
-            low, high = RANGES.get(field.name, (None, None))
-            value = getattr(self, field.name)
-            if low is not None and value < low:
-                object.__setattr__(self, field.name, type(value)(low))
-            if high is not None and value > high:
-                object.__setattr__(self, field.name, type(value)(high))
-
-    def with_(self, **changes) -> "Options":
-        return replace(self, **changes)
+        for name, low in LEAST.items():
+            value = getattr(self, name)
+            if value is not None and value < low:
+                raise ValueError(f"{name} must be at least {low}, not {value}")
 
     @classmethod
     def statuses_from_text(cls, text: str | None) -> tuple[int, ...]:

@@ -77,13 +77,9 @@ SELECT file, seq, ts, channel, level, level_name, message, context, NULL::VARCHA
 
 def log_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = group_records(at_least(_records(spark, sf_dir), "WARNING"))
-    return (
-        groups.select(
-            "message_key", "channel", "level", "level_name", "message", "context",
-            *_ntz("first_seen", "last_seen"), "occurrences",
-        )
-        .orderBy(F.desc("occurrences"), F.asc("message_key"))
-        .limit(200)
+    return groups.select(
+        "message_key", "channel", "level", "level_name", "message", "context",
+        *_ntz("first_seen", "last_seen"), "occurrences",
     )
 
 
@@ -97,7 +93,7 @@ SELECT message_key, any_value(channel) AS channel, any_value(level)::INTEGER AS
   any_value(level_name) AS level_name, max(message) FILTER (newest = 1) AS message,
   max(context) FILTER (newest = 1) AS context, min(ts) AS first_seen, max(ts) AS last_seen,
   count(*) AS occurrences
-FROM ranked WHERE level >= 300 GROUP BY message_key ORDER BY occurrences DESC, message_key LIMIT 200"""
+FROM ranked WHERE level >= 300 GROUP BY message_key"""
 
 
 def log_ungrouped(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from opslens.functions.json_tail import mask_json_text, register_functions, split_tail
+from opslens.functions.json_tail import mask_json_text, register_functions
 from opslens.functions.levels import level_code
 from opslens.functions.loglines import (
     basic_regex,
@@ -16,10 +16,11 @@ from opslens.functions.loglines import (
 )
 from opslens.functions.text import (
     instance_id,
-    json_or_null,
+    kb_map,
     mask_params,
     message_key,
     number_text,
+    params_fingerprint,
     path_template,
     queue_topic,
     sql_template,
@@ -27,7 +28,7 @@ from opslens.functions.text import (
 from opslens.operators.search import at_least, level_lines
 from opslens.schemas import LOG_LINE
 
-HEAD = "[2026-05-29T04:59:32.205175+00:00] "
+HEAD = "[2031-02-14T18:07:45.360912+00:00] "
 
 
 def one(spark, expr, **values):
@@ -44,7 +45,7 @@ def test_two_json_tails(spark):
     row = parse(spark, HEAD + 'orders.WARNING: stock is low {"sku":"a"} {"host":"b"}').first()
     assert (row.channel, row.level, row.level_name) == ("orders", 300, "WARNING")
     assert (row.message, row.context, row.extra) == ("stock is low", '{"sku":"a"}', '{"host":"b"}')
-    assert row.ts.microsecond == 205175
+    assert row.ts.microsecond == 360912
 
 
 @pytest.mark.parametrize(
@@ -56,9 +57,9 @@ def test_two_json_tails(spark):
         ('text {"e":"x"} []', "text", '{"e":"x"}', None),
         ('text [] {"e":"x"}', "text", None, '{"e":"x"}'),
         ('text {"e":"x"}', "text", '{"e":"x"}', None),
-        ('q {"r":{"d":[{"id":1}]}} {}', "q", '{"r":{"d":[{"id":1}]}}', None),
-        ('q {"r":"} {"} {"s":{}}', "q", '{"r":"} {"}', '{"s":{}}'),
-        ('q {"r":"a \\" } b"} []', "q", '{"r":"a \\" } b"}', None),
+        ('box {"shelf":{"rows":[[3],{"n":4}]}} {}', "box", '{"shelf":{"rows":[[3],{"n":4}]}}', None),
+        ('box {"lid":"} {"} {"side":{}}', "box", '{"lid":"} {"}', '{"side":{}}'),
+        ('box {"lid":"up \\" } down"} []', "box", '{"lid":"up \\" } down"}', None),
         ('user {id} gone {"id":7} []', "user {id} gone", '{"id":7}', None),
         ("a } b", "a } b", None, None),
         ("tail is open {", "tail is open {", None, None),
@@ -68,12 +69,11 @@ def test_two_json_tails(spark):
 def test_message_tails(spark, rest, message, context, extra):
     row = parse(spark, HEAD + "app.ERROR: " + rest).first()
     assert (row.message, row.context, row.extra) == (message, context, extra)
-    assert split_tail(rest) == (message, context, extra)
 
 
 @pytest.mark.parametrize(
     "line",
-    ["", "   ", "free text", "[2026-05-29T04:59:32.2", "[2026-05-29T04:59:32+00:00] a.INFO: no fraction"],
+    ["", "   ", "free text", "[2031-02-14T18:07:45.2", "[2031-02-14T18:07:45+00:00] a.INFO: no fraction"],
 )
 def test_lines_without_header_are_dropped(spark, line):
     assert parse(spark, line).count() == 0
@@ -82,14 +82,14 @@ def test_lines_without_header_are_dropped(spark, line):
 def test_level_is_upper_cased_and_bad_time_replaced(spark):
     rows = parse(
         spark,
-        "  [2026-13-45T04:59:32.2+00:00] app.error: x  ",
-        "[2026-05-29T04:59:32.2 somewhere] app.Odd: x",
-        "[2026-05-29T04:59:32.25+02:00] app.ALERT: x\r",
+        "  [2031-13-45T18:07:45.2+00:00] app.error: x  ",
+        "[2031-02-14T18:07:45.2 somewhere] app.Odd: x",
+        "[2031-02-14T18:07:45.25+02:00] app.ALERT: x\r",
     ).orderBy("seq").collect()
     assert [r.level_name for r in rows] == ["ERROR", "ODD", "ALERT"]
     assert [r.level for r in rows] == [400, 0, 550]
     assert [str(r.ts) for r in rows][:2] == ["2000-01-01 00:00:00"] * 2
-    assert str(rows[2].ts) == "2026-05-29 02:59:32.250000"
+    assert str(rows[2].ts) == "2031-02-14 16:07:45.250000"
 
 
 @pytest.mark.parametrize(
@@ -241,9 +241,49 @@ def test_small_texts(spark):
     assert one(spark, number_text(F.lit(50.0)), z=1) == "50"
     assert one(spark, number_text(F.lit(50.25)), z=1) == "50.25"
     assert len(one(spark, instance_id("h", "i"), h="web", i="10.0.0.1")) == 12
-    assert one(spark, json_or_null(F.create_map(F.lit("a"), F.lit(1))), z=1) == '{"a":1}'
-    empty = F.create_map().cast("map<string,int>")
-    assert one(spark, json_or_null(empty), z=1) is None
+
+
+MASK_CASES = [
+    ('{"App\\\\Token":"s1"}', '{"App\\\\Token":"***"}'),
+    ('{"to\\u006ben":"s2"}', '{"token":"***"}'),
+    ('{"x":[{"Api_Key":["s3","s4"]},{"y":1}]}', '{"x":[{"Api_Key":"***"},{"y":1}]}'),
+    ('{"PASSWORD":"s5","a":"b"}', '{"PASSWORD":"***","a":"b"}'),
+    ('{"a":"token","b":"secret"}', '{"a":"token","b":"secret"}'),
+    ('{"q":"say \\"token\\": \\"s\\"","auth":"s6"}', '{"q":"say \\"token\\": \\"s\\"","auth":"***"}'),
+    ('{"token":"s7"', '"***"'),
+    ('{"token":s8}', '"***"'),
+    ("token=s9", '"***"'),
+    ('{"secret":1.5e3,"n":null}', '{"secret":"***","n":null}'),
+]
+
+
+@pytest.mark.parametrize(("params", "masked"), MASK_CASES)
+def test_no_secret_passes(spark, params, masked):
+    """Whichever way a text takes, flat or nested: the same rule for names."""
+    assert one(spark, mask_params("p"), p=params) == masked
+    nested = '{"deep":' + params + "}"
+    wanted = '"***"' if masked == '"***"' else '{"deep":' + masked + "}"
+    assert one(spark, mask_params("p"), p=nested) == wanted
+
+
+def test_fingerprints_ignore_blanks_between_values(spark):
+    prints = [one(spark, params_fingerprint("p"), p=p) for p in (
+        '{"a":1,"b":"x y"}', '{ "a": 1,\n"b": "x y" }', '{"a":1,"b":"xy"}', '{"b":"x y","a":1}',
+    )]
+    assert prints[0] == prints[1] and len(set(prints)) == 3
+
+
+def test_of_repeated_memory_keys_the_last_counts(spark):
+    text = "MemTotal:  10 kB\nMemFree:  4 kB\nMemTotal:  12 kB\nother"
+    assert one(spark, kb_map("t"), t=text) == {"MemFree": 4, "MemTotal": 12}
+    assert one(spark, kb_map("t"), t="nothing") == {}
+
+
+@pytest.mark.parametrize("depth", [15, 16, 17, 40])
+def test_nesting_around_the_limit_of_the_pattern(spark, depth):
+    block = '{"k\\"}":' * depth + '"} {\\"' + '"' + "}" * depth
+    row = parse(spark, HEAD + "app.ERROR: text " + block + " {}").first()
+    assert (row.message, row.context, row.extra) == ("text", block, None)
 
 
 def test_long_blocks_are_matched_without_recursion(spark):
@@ -262,8 +302,5 @@ def test_marks_inside_a_line(spark):
 
 def test_functions_are_callable_from_sql(spark):
     register_functions(spark)
-    row = spark.sql(
-        """SELECT split_json_tail('m {"a":{"b":1}} []') p, mask_json('{"x":{"token":1}}') m"""
-    ).first()
-    assert (row.p.message, row.p.context, row.p.extra) == ("m", '{"a":{"b":1}}', None)
+    row = spark.sql("""SELECT mask_json('{"x":{"token":1}}') m""").first()
     assert row.m == '{"x":{"token":"***"}}'

@@ -26,7 +26,6 @@ from opslens.operators.grouping import (
     table_stats,
 )
 from opslens.operators.ordering import (
-    broadcast_if_few,
     carry_forward,
     first_per_request,
     last_lines,
@@ -121,14 +120,20 @@ def test_first_per_request(spark):
     df = spark.createDataFrame(data, "request_id string, seq bigint")
     got = rows(first_per_request(df, 5), "request_id", "seq")
     assert got == [("big", i) for i in range(5)] + [("small", i) for i in range(3)]
-    assert first_per_request(df, 100) is df
+    assert first_per_request(df, None) is df
+    nameless = spark.createDataFrame([(None, i) for i in range(9)], "request_id string, seq bigint")
+    assert rows(first_per_request(nameless, 2), "seq") == [(None, 0), (None, 1)]
 
 
-def test_broadcast_needs_a_checked_size(spark):
-    keys = spark.range(20).select("id")
-    assert "broadcast" in broadcast_if_few(keys, 20)._jdf.queryExecution().logical().toString().lower()
-    assert broadcast_if_few(keys, 19) is keys
-    assert broadcast_if_few(keys.where("id < 0")) is None
+def test_statistics_run_no_job_before_they_are_asked_for(spark):
+    df = spark.createDataFrame([], QUERY_SAMPLE)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build", "building a query")
+    try:
+        issues_of(df)
+        assert list(tracker.getJobIdsForGroup("build")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 # --- search ---------------------------------------------------------------------------------
@@ -268,8 +273,9 @@ def test_old_rows_are_upgraded(spark):
 
 def test_size_cut():
     mb = 1024 * 1024
-    plan = SizeCut.plan(600 * mb, 2_000_000, 500 * mb)
-    assert 390_000 < plan.rows_to_delete < 410_000
+    # 70 MB over, and a fifth more: 84 MB in rows of 1,024 bytes.
+    plan = SizeCut.plan(270 * mb, 270 * 1024, 200 * mb)
+    assert plan.rows_to_delete == 84 * 1024
     assert SizeCut.plan(500 * mb, 10, 500 * mb).rows_to_delete == 0
     assert SizeCut.plan(1000 * mb, 10, 1).rows_to_delete == 9
     assert SizeCut.plan(1000 * mb, 0, 1).rows_to_delete == 0
@@ -516,9 +522,52 @@ def test_budget_equals_the_sequential_walk(spark):
     assert got == [(r, i, b, r in cut) for r, i, b in kept]
 
 
-def test_options_are_clamped():
-    o = Options(n1_threshold=0, key_length=1000, report_interval_s=1, tail_lines=5, retention_hours=0)
-    assert (o.n1_threshold, o.key_length, o.report_interval_s, o.tail_lines, o.retention_hours) == (2, 255, 5, 10, 1)
-    assert DEFAULTS.with_(key_length=3).key_length == 10
+@pytest.mark.parametrize("name", ["n1_threshold", "key_length", "report_interval_s", "retention_hours", "repeat_groups"])
+def test_options_out_of_range_are_refused(name):
+    with pytest.raises(ValueError):
+        Options(**{name: 0})
+
+
+def test_options_take_what_is_given():
+    o = Options(report_interval_s=900, grep_limit_per_file=5_000, repeat_groups=None)
+    assert (o.report_interval_s, o.grep_limit_per_file, o.repeat_groups) == (900, 5_000, None)
     assert Options.statuses_from_text(" 200, 404,x") == (200, 404)
     assert Options.statuses_from_text("") == ()
+
+
+def test_limits_of_none_mean_all(spark):
+    lines = lines_df(spark, *[f"[2024-01-01 00:00:00] app.ERROR: same {i % 300}" for i in range(1200)])
+    assert repeated_lines(lines, opts=Options(repeat_groups=None)).count() == 300
+    assert repeated_lines(lines).count() == 200
+    every = Options(grep_limit_per_file=None, grep_limit_total=None)
+    assert grep_files(lines, line_matches("same"), ["a.log"], every).count() == 1200
+
+
+def test_endpoints_without_path_or_type_are_kept(spark):
+    data = [("/a", "http", 1e18, None, 0), *[("/a", "http", 1.0, None, i) for i in range(1, 66)],
+            (None, "http", 2.0, 200, 70), ("/b", None, 4.0, 404, 71), (None, "http", 4.0, None, 7000)]
+    df = spark.createDataFrame(
+        [(p, t, ms, s, at(i), i) for p, t, ms, s, i in data],
+        "path string, type string, ms double, status int, ts timestamp, seq bigint",
+    )
+    found = {(r.path, r.type): r for r in endpoint_rows(merge_endpoints(endpoint_deltas(df).withColumn("version", F.lit(0)))).collect()}
+    average = 1e18
+    for _ in range(65):
+        average = (average + 1.0) / 2
+    assert found["/a", "http"].ema_ms == pytest.approx(average, rel=1e-12)
+    assert (found[None, "http"].ema_ms, found[None, "http"].last_status, found[None, "http"].requests) == (3.0, 200, 2)
+    assert found["/b", None].last_status == 404
+
+
+def test_throttle_over_a_month_without_a_pause(spark):
+    interval, days = 7, 30
+    every = spark.range(days * 86_400).select(
+        F.lit("web1").alias("instance_id"), F.timestamp_seconds(F.col("id") + 1_000_003).alias("collected_at")
+    )
+    few = spark.createDataFrame([("web2", s) for s in (0, 6, 7, 13, 86_399, 86_404, 86_406, 400_000)], "instance_id string, s bigint")
+    reports = every.unionByName(few.select("instance_id", F.timestamp_seconds("s").alias("collected_at")))
+    found = fleet.accepted_reports(reports, Options(report_interval_s=interval)).select("instance_id", F.unix_seconds("accepted_at").alias("s"))
+    first = found.where("instance_id = 'web1'")
+    assert first.agg(F.count("*"), F.min("s"), F.max("s"), F.count_if((F.col("s") - 1_000_003) % interval != 0)).first() == (
+        -(-days * 86_400 // interval), 1_000_003, 1_000_003 + (days * 86_400 - 1) // interval * interval, 0)
+    assert sorted(r.s for r in found.where("instance_id = 'web2'").collect()) == [0, 7, 86_399, 86_406, 400_000]
