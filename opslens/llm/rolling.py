@@ -13,9 +13,10 @@ _KNOWN: dict[int, np.ndarray] = {}
 
 def powers(base: int, count: int) -> np.ndarray:
     if base not in _KNOWN or len(_KNOWN[base]) < count:
-        out = np.full(max(count, 1 << 16), base, np.uint64)
-        out[0] = 1
-        _KNOWN[base] = np.multiply.accumulate(out)
+        out = np.ones(1, np.uint64)
+        while len(out) < max(count, 1 << 16):
+            out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+        _KNOWN[base] = out
     return _KNOWN[base][:count]
 
 
