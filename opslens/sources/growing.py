@@ -31,7 +31,6 @@ from pyspark.sql.datasource import (
 from pyspark.sql.types import StructType
 
 from ..schemas import LOG_LINE
-from .tables import uri
 
 SPLIT_BYTES = 32 * 1024 * 1024
 PROBE_BYTES = 64 * 1024
@@ -57,6 +56,11 @@ class ByteRange(InputPartition):
     first: bool
 
 
+def uri(path: str) -> str:
+    """A growing file is followed where it is written: a path without a scheme is this machine's."""
+    return path if "://" in path else f"file://{path}"
+
+
 def list_files(path: str) -> list[LogFile]:
     """The files a path, folder or pattern stands for right now."""
     from pyarrow import fs

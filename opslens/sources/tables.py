@@ -1,26 +1,43 @@
-"""Keyed tables kept as parquet folders: small per-batch deltas merged on read, folded on demand.
+"""Keyed tables kept as parquet folders: one per batch of each writer, merged on read, folded on demand.
 
-Layout: ``delta/version=<n>`` holds the rows of batch n, ``base/version=<n>.<r>`` the merge of all
-batches up to n in its r-th rewrite. A batch writes its own folder only, so its cost follows the
-batch and not the table, and writing it again (a replayed batch) replaces the same folder.
+Layout: ``rows/writer=<w>/batch=<n>`` holds the rows of a writer's n-th batch; writing the batch again
+replaces the folder. ``folds/fold=<k>`` holds the merge of everything before, and ``folded/fold=<k>``
+the highest batch of every writer that is in it. The newest complete fold counts, together with all
+batches beyond what it names. A folder is complete when Spark has left its ``_SUCCESS`` there.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from typing import NamedTuple
 
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructType
 
 Merge = Callable[[DataFrame], DataFrame]
 
 
+class Content(NamedTuple):
+    """What a table consists of at one moment: its newest fold and the batches beyond it."""
+
+    fold: int | None
+    folded: dict[str, int]
+    batches: tuple[tuple[str, int], ...]
+
+    def upto(self) -> dict[str, int]:
+        """Highest batch per writer that is in the content."""
+        out = dict(self.folded)
+        for writer, batch in self.batches:
+            out[writer] = max(batch, out.get(writer, batch))
+        return out
+
+
 class MergedTable:
     """A table whose rows are the merge of every batch written to it.
 
-    ``merge`` takes rows with a ``version`` column and returns merged rows with one; it must give the
-    same result however the batches are grouped.
+    ``merge`` takes rows with a ``version`` column, which grows with the time of writing, and returns
+    merged rows with one; it must give the same result however the batches are grouped.
     """
 
     def __init__(self, path: str, schema: StructType, merge: Merge):
@@ -28,64 +45,69 @@ class MergedTable:
         self.merge = merge
         self.schema = StructType([f for f in schema.fields if f.name != "version"])
 
-    def ensure(self, spark: SparkSession) -> None:
-        """Create the table, empty, unless it exists."""
-        if not self.bases():
-            self._write(self._empty(spark), "base/version=-1.0", -1)
-
-    def bases(self) -> list[tuple[int, int]]:
-        """(last folded batch, rewrite) of every complete base, oldest first."""
-        names = (name.split(".") for name in complete_folders(f"{self.path}/base"))
-        return sorted((int(batch), int(rewrite)) for batch, rewrite in names)
-
-    def deltas(self) -> list[int]:
-        """Complete batches that the newest base does not hold."""
-        bases = self.bases()
-        folded = bases[-1][0] if bases else None
-        batches = sorted(int(name) for name in complete_folders(f"{self.path}/delta"))
-        return [b for b in batches if folded is None or b > folded]
-
-    def next_batch(self) -> int:
-        bases, deltas = self.bases(), self.deltas()
-        return max([b for b, _ in bases] + deltas + [-1]) + 1
-
-    def write_batch(self, rows: DataFrame, batch: int) -> None:
-        """Store the rows of a batch. A batch that a base already holds is left alone."""
-        bases = self.bases()
-        if not bases or batch > bases[-1][0]:
-            self._write(rows, f"delta/version={batch}", batch)
-
-    def read(self, spark: SparkSession) -> DataFrame:
-        """The merged rows, each with the last batch that touched it as ``version``."""
-        return self.merge(self._parts(spark))
-
-    def compact(self, spark: SparkSession) -> None:
-        """Fold the deltas into a new base. Older folders stay for running readers."""
-        deltas = self.deltas()
-        if deltas:
-            self._write(self.read(spark), f"base/version={deltas[-1]}.0", deltas[-1])
-
-    def replace(self, rows: DataFrame) -> None:
-        """Publish ``rows`` as the content so far: after retention, or to clear the table."""
-        bases, deltas = self.bases(), self.deltas()
-        batch = deltas[-1] if deltas else (bases[-1][0] if bases else -1)
-        rewrite = bases[-1][1] + 1 if bases and bases[-1][0] == batch else 0
-        self._write(rows, f"base/version={batch}.{rewrite}", batch)
+    def content(self, spark: SparkSession) -> Content:
+        """One listing; whatever is computed from it can be published against it."""
+        folds = sorted(int(name) for name in complete_folders(spark, f"{self.path}/folds", "fold"))
+        folded: dict[str, int] = {}
+        if folds:
+            names = spark.read.schema("writer string, batch bigint")
+            # One row per writer.
+            folded = dict(map(tuple, names.parquet(f"{self.path}/folded/fold={folds[-1]}").collect()))
+        batches = [
+            (writer, int(batch))
+            for writer in folders(spark, f"{self.path}/rows", "writer")
+            for batch in complete_folders(spark, f"{self.path}/rows/writer={writer}", "batch")
+        ]
+        beyond = tuple(sorted(b for b in batches if b[1] > folded.get(b[0], -1)))
+        return Content(folds[-1] if folds else None, folded, beyond)
+
+    def write_batch(self, rows: DataFrame, batch: int, writer: str | None = None) -> None:
+        """Store the rows of a batch. ``writer`` tells streams apart; within a stream's batch it is
+        the stream's own id, which a new checkpoint changes."""
+        writer = writer or stream_id(rows.sparkSession)
+        self._write(rows, f"rows/writer={writer}/batch={batch}")
+
+    def read(self, spark: SparkSession, content: Content | None = None) -> DataFrame:
+        """The merged rows, each with the version of the last batch that touched it."""
+        content = content or self.content(spark)
+        reader = spark.read.schema(self._stored())
+        paths = [f"{self.path}/rows/writer={w}/batch={b}" for w, b in content.batches]
+        if content.fold is not None:
+            paths.insert(0, f"{self.path}/folds/fold={content.fold}")
+        return self.merge(reader.parquet(*paths) if paths else self._empty(spark))
+
+    def fold(self, spark: SparkSession) -> None:
+        """Merge what there is now into a new fold. Batches written meanwhile stay beyond it."""
+        content = self.content(spark)
+        if content.batches:
+            self.replace(self.read(spark, content), content)
+
+    def replace(self, rows: DataFrame, content: Content) -> None:
+        """Publish ``rows``, computed from ``content``, in its place: after retention, for instance.
+
+        Folders that the fold before had taken in are removed; those of ``content`` stay for readers
+        that have begun.
+        """
+        spark = rows.sparkSession
+        number = 0 if content.fold is None else content.fold + 1
+        names = spark.createDataFrame(list(content.upto().items()), "writer string, batch bigint")
+        names.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/folded/fold={number}")
+        self._write(rows, f"folds/fold={number}")
+        for old in range(max(number - 3, 0), number - 1):
+            remove(spark, f"{self.path}/folds/fold={old}")
+            remove(spark, f"{self.path}/folded/fold={old}")
+        for writer, upto in content.folded.items():
+            for batch in folders(spark, f"{self.path}/rows/writer={writer}", "batch"):
+                if int(batch) <= upto:
+                    remove(spark, f"{self.path}/rows/writer={writer}/batch={batch}")
+
+    def keep(self, spark: SparkSession, rule: Callable[[DataFrame], DataFrame]) -> None:
+        """Apply a retention rule to the stored rows."""
+        content = self.content(spark)
+        self.replace(rule(self.read(spark, content)), content)
 
     def clear(self, spark: SparkSession) -> None:
-        self.replace(self._empty(spark))
-
-    def _parts(self, spark: SparkSession) -> DataFrame:
-        reader = spark.read.schema(self._stored())
-        bases, deltas = self.bases(), self.deltas()
-        parts = self._empty(spark)
-        if bases:
-            batch, rewrite = bases[-1]
-            parts = reader.parquet(f"{self.path}/base/version={batch}.{rewrite}")
-        if deltas:
-            rows = reader.parquet(*[f"{self.path}/delta/version={b}" for b in deltas])
-            parts = parts.unionByName(rows) if bases else rows
-        return parts
+        self.replace(self._empty(spark), self.content(spark))
 
     def _stored(self) -> StructType:
         return StructType([*self.schema.fields]).add("version", LongType())
@@ -93,10 +115,16 @@ class MergedTable:
     def _empty(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([], self._stored())
 
-    def _write(self, rows: DataFrame, folder: str, version: int) -> None:
-        stamped = rows if "version" in rows.columns else rows.withColumn("version", F.lit(version))
+    def _write(self, rows: DataFrame, folder: str) -> None:
+        if "version" not in rows.columns:
+            rows = rows.withColumn("version", F.lit(time.time_ns() // 1000))
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self._stored().fields]
-        stamped.select(*columns).write.mode("overwrite").parquet(f"{self.path}/{folder}")
+        rows.select(*columns).write.mode("overwrite").parquet(f"{self.path}/{folder}")
+
+
+def stream_id(spark: SparkSession) -> str:
+    """Id of the stream whose batch is being written; it lives as long as its checkpoint."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
 
 
 class SnapshotTable:
@@ -107,7 +135,7 @@ class SnapshotTable:
         self.schema = schema
 
     def read(self, spark: SparkSession, before: int | None = None) -> DataFrame:
-        batches = sorted(int(name) for name in complete_folders(self.path))
+        batches = sorted(int(name) for name in complete_folders(spark, self.path, "version"))
         older = [b for b in batches if before is None or b < before]
         if not older:
             return spark.createDataFrame([], self.schema)
@@ -117,25 +145,37 @@ class SnapshotTable:
         rows.write.mode("overwrite").parquet(f"{self.path}/version={batch}")
 
 
-def complete_folders(path: str) -> list[str]:
-    """Names behind ``version=`` of the folders under ``path`` whose write has finished."""
-    filesystem, root = fs.FileSystem.from_uri(uri(path))
-    found = filesystem.get_file_info(fs.FileSelector(root, allow_not_found=True))
-    folders = [f for f in found if f.base_name.startswith("version=")]
-    marks = filesystem.get_file_info([f"{f.path}/_SUCCESS" for f in folders])
-    return [
-        folder.base_name.removeprefix("version=")
-        for folder, mark in zip(folders, marks)
-        if mark.type == fs.FileType.File
-    ]
+def _path(spark: SparkSession, path: str):
+    """The path and its file system, as Spark itself resolves them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def folders(spark: SparkSession, path: str, key: str) -> list[str]:
+    """Values of the ``key=value`` folders under a path."""
+    place, system = _path(spark, path)
+    names = [s.getPath().getName() for s in system.listStatus(place)] if system.exists(place) else []
+    return [name.removeprefix(f"{key}=") for name in names if name.startswith(f"{key}=")]
+
+
+def complete_folders(spark: SparkSession, path: str, key: str) -> list[str]:
+    """Those of the folders whose write has finished."""
+    out = []
+    for name in folders(spark, path, key):
+        mark, system = _path(spark, f"{path}/{key}={name}/_SUCCESS")
+        if system.exists(mark):
+            out.append(name)
+    return out
 
 
-def uri(path: str) -> str:
-    return path if "://" in path else f"file://{path}"
+def remove(spark: SparkSession, path: str) -> None:
+    place, system = _path(spark, path)
+    system.delete(place, True)
 
 
 def append_rows(rows: DataFrame, path: str, batch: int, date_of: str = "last_seen") -> None:
-    """Append-only table: one folder per batch, split by date and replaced on replay."""
+    """Append-only table: one folder per stream and batch, split by date and replaced on replay."""
+    writer = stream_id(rows.sparkSession)
     rows.withColumn("day", F.to_date(date_of)).write.mode("overwrite").partitionBy("day").parquet(
-        f"{path.rstrip('/')}/version={batch}"
+        f"{path.rstrip('/')}/writer={writer}/batch={batch}"
     )

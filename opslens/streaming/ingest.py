@@ -34,7 +34,7 @@ def write_groups(
     """One micro-batch: group its records and store them under the batch's number."""
     table.write_batch(group_records(wanted_records(lines, opts), opts), batch)
     if compact_every and (batch + 1) % compact_every == 0:
-        table.compact(lines.sparkSession)
+        table.fold(lines.sparkSession)
 
 
 def start_ingest(
@@ -51,7 +51,6 @@ def start_ingest(
     keeps the file positions; a batch repeated after a failure replaces its own rows.
     ``query.lastProgress`` reports lines seen and kept.
     """
-    table.ensure(lines.sparkSession)
     counted = lines.observe(
         "ingest",
         F.count(F.lit(1)).alias("lines"),

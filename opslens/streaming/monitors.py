@@ -49,7 +49,7 @@ def write_spike_flags(lines: DataFrame, batch: int, table: MergedTable, opts: Op
     flags = lines.select("file", "block", "seq", F.col("line").rlike(SEVERE_LINE).alias("severe"))
     newest = top_per_group(flags, ["file"], [F.desc("block"), F.desc("seq")], opts.spike_lines)
     table.write_batch(newest, batch)
-    table.compact(lines.sparkSession)
+    table.fold(lines.sparkSession)
 
 
 def current_spikes(spark: SparkSession, table: MergedTable, opts: Options = DEFAULTS) -> DataFrame:

@@ -133,22 +133,19 @@ def test_merged_table(spark, tmp_path):
     def batch(*pairs):
         return spark.createDataFrame(list(pairs), "key string, n bigint")
 
-    assert content() == {}
-    table.ensure(spark)
-    table.ensure(spark)
     assert content() == {}
     table.write_batch(batch(("a", 1), ("b", 2)), 0)
     table.write_batch(batch(("a", 10)), 1)
     assert content() == {"a": 11, "b": 2}
-    table.write_batch(batch(("a", 10)), 1)
+    table.write_batch(batch(("a", 10)), 1)  # replayed
     assert content() == {"a": 11, "b": 2}
-    table.compact(spark)
-    assert (table.deltas(), content()) == ([], {"a": 11, "b": 2})
-    table.write_batch(batch(("a", 99)), 1)
+    table.fold(spark)
+    assert (table.content(spark).batches, content()) == ((), {"a": 11, "b": 2})
+    table.write_batch(batch(("a", 10)), 1)  # replayed after the fold
     assert content() == {"a": 11, "b": 2}
     table.write_batch(batch(("c", 5)), 2)
-    assert (table.next_batch(), content()) == (3, {"a": 11, "b": 2, "c": 5})
-    table.replace(table.read(spark).where("key <> 'a'"))
+    assert content() == {"a": 11, "b": 2, "c": 5}
+    table.keep(spark, lambda rows: rows.where("key <> 'a'"))
     assert content() == {"b": 2, "c": 5}
     table.write_batch(batch(("b", 1)), 3)
     assert content() == {"b": 3, "c": 5}
@@ -157,11 +154,38 @@ def test_merged_table(spark, tmp_path):
     assert content() == {}
 
 
+def test_batches_of_another_checkpoint_count_beside_the_first(spark, tmp_path):
+    table = MergedTable(str(tmp_path / "t"), COUNTS, sums)
+    one = spark.createDataFrame([("a", 1)], "key string, n bigint")
+    for writer in ("first", "second"):
+        for number in range(3):
+            table.write_batch(one, number, writer)
+        assert table.read(spark).first().n == (3 if writer == "first" else 6)
+        table.fold(spark)
+    table.write_batch(one, 0, "third")
+    assert table.read(spark).first().n == 7
+
+
+def test_a_batch_written_meanwhile_is_neither_lost_nor_doubled(spark, tmp_path):
+    table = MergedTable(str(tmp_path / "t"), COUNTS, sums)
+    one = spark.createDataFrame([("a", 1)], "key string, n bigint")
+    table.write_batch(one, 0)
+    for number in range(1, 6):
+        seen = table.content(spark)
+        rows = table.read(spark, seen)
+        table.write_batch(one, number)
+        table.replace(rows, seen)
+        assert table.read(spark).first().n == number + 1
+    # What earlier folds took in is gone from the disk.
+    assert len(list((tmp_path / "t" / "rows" / "writer=direct").glob("batch=*"))) <= 3
+    assert len(list((tmp_path / "t" / "folds").glob("fold=*"))) <= 3
+
+
 def test_unfinished_writes_are_ignored(spark, tmp_path):
     table = MergedTable(str(tmp_path / "t"), COUNTS, sums)
     table.write_batch(spark.createDataFrame([("a", 1)], "key string, n bigint"), 0)
-    os.makedirs(tmp_path / "t" / "delta" / "version=1")
-    assert table.deltas() == [0]
+    os.makedirs(tmp_path / "t" / "rows" / "writer=direct" / "batch=1")
+    assert table.content(spark).batches == (("direct", 0),)
 
 
 def test_snapshot_table(spark, tmp_path):

@@ -98,7 +98,7 @@ def test_hundred_lines_of_one_prefix(spark, tmp_path):
     table = group_table(str(tmp_path / "table"))
     drain(start_ingest(stream_lines(spark, str(tmp_path), maxBytesPerFile="2000"), table, str(tmp_path / "cp"), immediate=True))
     assert [r.occurrences for r in table.read(spark).collect()] == [100]
-    assert len(table.deltas()) > 1
+    assert len(table.content(spark).batches) > 1
 
 
 def test_six_lines_in_two_groups(spark, tmp_path):
@@ -121,14 +121,14 @@ def test_replayed_and_compacted_batches(spark, tmp_path):
     for batch in (0, 1, 1, 2, 0):
         write_groups(df.where(F.floor(F.col("seq") / 2) == batch), batch, table, compact_every=2)
     assert [r.occurrences for r in table.read(spark).collect()] == [6]
-    assert table.bases()[-1] == (1, 0)
+    assert table.content(spark).fold == 0
 
 
 def test_append_stream(spark, tmp_path):
     append(tmp_path / "a.log", line(1), line(2), line(86_400 * 2))
     out = str(tmp_path / "out")
     drain(start_append(stream_lines(spark, str(tmp_path)), out, str(tmp_path / "cp")))
-    rows = spark.read.option("basePath", out).parquet(out + "/version=*")
+    rows = spark.read.option("basePath", out).parquet(out + "/writer=*/batch=*")
     assert rows.count() == 3 and rows.select("day").distinct().count() == 2
 
 
@@ -241,7 +241,7 @@ def test_endpoints_in_batches(spark, tmp_path):
     for batch in range(3):
         write_endpoints(df.where(F.floor(F.col("seq") / 30) == batch), batch, table)
         if batch == 1:
-            table.compact(spark)
+            table.fold(spark)
     got, whole = endpoint_rows(table.read(spark)).first(), endpoint_stats(df).first()
     assert got.ema_ms == pytest.approx(whole.ema_ms, rel=1e-12)
     assert (got.requests, got.min_ms, got.max_ms, got.last_seen) == (90, 0.0, 16.0, whole.last_seen)
