@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,25 +11,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 def read_lines(
     spark: SparkSession, path: str | Sequence[str], files: Sequence[str] | None = None
 ) -> DataFrame:
-    """Every line of the ``*.log`` files under ``path``: file, block, seq, line.
+    """Every line of the ``*.log`` files under ``path``: file (its full path), block, seq, line.
 
-    (block, seq) orders the lines of a file: the start of the split a line was read from, then its
+    ``files`` names other files to read, in each of the folders that has them. (block, seq) orders the lines of a file: the start of the split a line was read from, then its
     position in the scan. It is attached right behind the scan; filter afterwards.
     """
     reader = spark.read.option("lineSep", "\n")
-    if files is None:
-        scan = reader.option("pathGlobFilter", "*.log").text(path)
-    else:
-        base = path if isinstance(path, str) else path[0]
-        scan = reader.text([f"{base.rstrip('/')}/{name}" for name in files])
+    names = "*.log" if files is None else "{" + ",".join(map(_literal, files)) + "}"
+    scan = reader.option("pathGlobFilter", names).text(path if isinstance(path, str) else list(path))
     return scan.select(
-        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"),
         F.col("value").alias("line"),
     )
 
 
+def _literal(name: str) -> str:
+    """A file name in which no character stands for others."""
+    return re.sub(r"([\\*?\[\]{},])", r"\\\1", name)
+
+
 def catalogue(spark: SparkSession, path: str, glob: str = "*.log") -> DataFrame:
     """The log files under ``path``, newest first. Only file status is read, never contents."""
     return (

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from fnmatch import fnmatch
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
@@ -30,10 +30,14 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
+from ..operators.search import grep
+from ..options import DEFAULTS
 from ..schemas import LOG_LINE
 
 SPLIT_BYTES = 32 * 1024 * 1024
 PROBE_BYTES = 64 * 1024
+# End of a file that is searched unless all of it is asked for.
+WINDOW_BYTES = 50 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -74,7 +78,7 @@ def list_files(path: str) -> list[LogFile]:
     files = [f for f in found if f.type == fs.FileType.File and fnmatch(f.base_name, pattern)]
     local = isinstance(filesystem, fs.LocalFileSystem)
     return [
-        LogFile(f.path, f.base_name, f.size, str(os.stat(f.path).st_ino) if local else "")
+        LogFile(f.path, f.path, f.size, str(os.stat(f.path).st_ino) if local else "")
         for f in sorted(files, key=lambda f: f.path)
     ]
 
@@ -195,7 +199,7 @@ class GrowingReader(DataSourceStreamReader):
             known_identity, known = start.get(path, [identity, 0])
             # A new file under the old name, or a file cut short, is read from its beginning.
             begin = known if known_identity == identity and known <= stop else 0
-            parts += ranges(path, os.path.basename(path), begin, stop, self.split)
+            parts += ranges(path, path, begin, stop, self.split)
         return parts
 
     def read(self, partition: ByteRange) -> Iterator:
@@ -243,7 +247,8 @@ def register_source(spark: SparkSession) -> None:
 def read_from(
     spark: SparkSession, path: str, offsets: dict[str, int] | None = None
 ) -> DataFrame:
-    """Lines behind the given byte offset of every file, tagged with their file."""
+    """Lines behind the given byte offset of every file, tagged with their file. Files, here and in
+    the offsets, go by their full path."""
     register_source(spark)
     return spark.read.format("growing_text").option("offsets", json.dumps(offsets or {})).load(path)
 
@@ -267,3 +272,14 @@ def stream_lines(spark: SparkSession, path: str, **options) -> DataFrame:
     """Stream of the lines appended to the files under ``path``."""
     register_source(spark)
     return spark.readStream.format("growing_text").options(**options).load(path)
+
+
+def grep_window(
+    spark: SparkSession,
+    path: str,
+    predicate: Column,
+    limit: int | None = DEFAULTS.grep_limit_per_file,
+    tail_bytes: int | None = WINDOW_BYTES,
+) -> DataFrame:
+    """Last matching lines of every file within its last bytes (None: in all of it)."""
+    return grep(read_window(spark, path, tail_bytes), predicate, limit)

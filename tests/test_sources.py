@@ -11,7 +11,7 @@ from opslens.operators.ordering import carry_time, last_lines
 from opslens.operators.search import grep, line_matches
 from opslens.schemas import struct, LONG, STRING
 from opslens.sources.files import catalogue, read_lines, stored_bytes
-from opslens.sources.growing import next_offsets, read_from, read_window, register_source
+from opslens.sources.growing import grep_window, next_offsets, read_from, read_window, register_source
 from opslens.sources.tables import MergedTable, SnapshotTable
 
 
@@ -57,6 +57,26 @@ def test_carried_time_over_many_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_files_of_equal_name_stay_apart(spark, tmp_path):
+    for folder in ("a", "b", "c{1}"):
+        (tmp_path / folder).mkdir()
+        write(tmp_path / folder, "app.log", f"{folder} 1\n{folder} 2\n")
+    write(tmp_path / "b", "x[1].txt", "odd\n")
+    both = [str(tmp_path / "a"), str(tmp_path / "b")]
+    assert sorted(r.line for r in last_lines(read_lines(spark, both), 1).collect()) == ["a 2", "b 2"]
+    named = read_lines(spark, both, ["app.log", "x[1].txt"])
+    assert sorted(r.line for r in named.collect()) == ["a 1", "a 2", "b 1", "b 2", "odd"]
+    assert named.select("file").distinct().count() == 3
+
+
+def test_grep_within_the_last_bytes(spark, tmp_path):
+    write(tmp_path, "a.log", "".join(f"hit {i:04d}\n" for i in range(100)))
+    found = grep_window(spark, str(tmp_path), line_matches("hit"), None, 45)
+    assert sorted(r.line for r in found.collect()) == [f"hit {i:04d}" for i in range(95, 100)]
+    assert grep_window(spark, str(tmp_path), line_matches("hit"), None, None).count() == 100
+    assert grep_window(spark, str(tmp_path), line_matches("hit"), 3, None).count() == 3
+
+
 def test_carriage_returns_stay(spark, tmp_path):
     with open(tmp_path / "a.log", "wb") as handle:
         handle.write(b"one\r\ntwo\rthree\n\n\xff\n")
@@ -94,12 +114,13 @@ def test_reading_from_offsets(spark, tmp_path):
     write(tmp_path, "b.log", "uno\n")
     assert texts(read_from(spark, str(tmp_path))) == ["one", "two", "uno"]
     offsets = next_offsets(str(tmp_path))
-    assert offsets == {"a.log": 8, "b.log": 4}
+    a, b = str(tmp_path / "a.log"), str(tmp_path / "b.log")
+    assert offsets == {a: 8, b: 4}
     assert texts(read_from(spark, str(tmp_path), offsets)) == []
     write(tmp_path, "a.log", "three\n", "a")
-    assert [(r.file, r.line) for r in read_from(spark, str(tmp_path), offsets).collect()] == [("a.log", "three")]
-    assert texts(read_from(spark, str(tmp_path), {"a.log": 4, "b.log": 100})) == ["two", "three"]
-    assert next_offsets(str(tmp_path), {"b.log": 100}) == {"a.log": 14, "b.log": 100}
+    assert [(r.file, r.line) for r in read_from(spark, str(tmp_path), offsets).collect()] == [(a, "three")]
+    assert texts(read_from(spark, str(tmp_path), {a: 4, b: 100})) == ["two", "three"]
+    assert next_offsets(str(tmp_path), {b: 100}) == {a: 14, b: 100}
 
 
 def test_window_at_the_end_of_files(spark, tmp_path):
