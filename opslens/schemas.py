@@ -41,7 +41,7 @@ LOG_GROUP = struct(
     url=STRING, ip=STRING,
 )
 
-LINE_FLAG = struct(file=STRING, block=LONG, seq=LONG, severe=BOOL)
+FILE_SPIKE = struct(file=STRING, errors=LONG, spike=BOOL)
 
 QUERY_SAMPLE = struct(
     request_id=STRING, seq=LONG, ts=TIME, url=STRING, sql=STRING, params_json=STRING, ms=DOUBLE,
@@ -51,9 +51,6 @@ QUERY_SAMPLE = struct(
 # A sample stream marks the end of a request in its last row.
 STREAMED_SAMPLE = struct(**{f.name: f.dataType for f in QUERY_SAMPLE.fields}, ended=BOOL)
 
-# A sample of an open request, with the time its request was last active.
-OPEN_SAMPLE = struct(**{f.name: f.dataType for f in QUERY_SAMPLE.fields}, active=TIME)
-
 ANALYSIS = struct(
     executions=LONG, unique_params=LONG, same_params_max=LONG, all_identical=BOOL,
     avg_ms=DOUBLE, min_ms=DOUBLE, max_ms=DOUBLE, total_ms=DOUBLE,

@@ -127,24 +127,6 @@ def stream_id(spark: SparkSession) -> str:
     return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
 
 
-class SnapshotTable:
-    """Rows replaced as a whole by every batch; a repeated batch starts from the one before it."""
-
-    def __init__(self, path: str, schema: StructType):
-        self.path = path.rstrip("/")
-        self.schema = schema
-
-    def read(self, spark: SparkSession, before: int | None = None) -> DataFrame:
-        batches = sorted(int(name) for name in complete_folders(spark, self.path, "version"))
-        older = [b for b in batches if before is None or b < before]
-        if not older:
-            return spark.createDataFrame([], self.schema)
-        return spark.read.schema(self.schema).parquet(f"{self.path}/version={older[-1]}")
-
-    def write(self, rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/version={batch}")
-
-
 def _path(spark: SparkSession, path: str):
     """The path and its file system, as Spark itself resolves them."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

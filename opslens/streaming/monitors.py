@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -16,11 +16,13 @@ from ..operators.endpoints import (
     tracked,
     with_path_templates,
 )
-from ..operators.ordering import top_per_group
 from ..options import DEFAULTS, Options
-from ..schemas import ENDPOINT_DELTA, LINE_FLAG
+from ..schemas import ENDPOINT_DELTA, FILE_SPIKE
 from ..sources.tables import MergedTable
 
+# Batches written between two folds.
+FOLD_EVERY = 50
+
 
 def minute_rates(lines: DataFrame, lateness: str = "2 minutes") -> DataFrame:
     """Lines per file and minute of their own time, as a stream; late lines count while the
@@ -35,41 +37,65 @@ def minute_rates(lines: DataFrame, lateness: str = "2 minutes") -> DataFrame:
     )
 
 
-def spike_table(path: str, opts: Options = DEFAULTS) -> MergedTable:
-    """Severity flags of the last lines of every file."""
+def spike_counts(lines: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
+    """Stream of severe lines among the last lines of every file that has grown: file, errors, spike.
 
-    def newest(rows: DataFrame) -> DataFrame:
-        order = [F.desc("version"), F.desc("block"), F.desc("seq")]
-        return top_per_group(rows, ["file"], order, opts.spike_lines)
+    The state is one mark per line, of as many lines as count.
+    """
+    most, threshold = opts.spike_lines, opts.spike_threshold
+
+    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        new: list[tuple] = []
+        for batch in batches:
+            new = sorted([*new, *zip(batch["block"], batch["seq"], batch["severe"])])
+            new = new if most is None else new[-most:]
+        marks = (state.get[0] if state.exists else "") + "".join("1" if s else "0" for _, _, s in new)
+        marks = marks if most is None else marks[-most:]
+        state.update((marks,))
+        errors = marks.count("1")
+        yield pd.DataFrame({"file": [key[0]], "errors": [errors], "spike": [errors >= threshold]})
 
-    return MergedTable(path, LINE_FLAG, newest)
+    return (
+        lines.select("file", "block", "seq", F.col("line").rlike(SEVERE_LINE).alias("severe"))
+        .groupBy("file")
+        .applyInPandasWithState(
+            count,
+            "file string, errors bigint, spike boolean",
+            "marks string",
+            "update",
+            GroupStateTimeout.NoTimeout,
+        )
+    )
 
 
-def write_spike_flags(lines: DataFrame, batch: int, table: MergedTable, opts: Options = DEFAULTS) -> None:
-    flags = lines.select("file", "block", "seq", F.col("line").rlike(SEVERE_LINE).alias("severe"))
-    newest = top_per_group(flags, ["file"], [F.desc("block"), F.desc("seq")], opts.spike_lines)
-    table.write_batch(newest, batch)
-    table.fold(lines.sparkSession)
+def spike_table(path: str) -> MergedTable:
+    """The newest count of every file."""
 
+    def newest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("file").agg(
+            F.max_by("errors", "version").alias("errors"),
+            F.max_by("spike", "version").alias("spike"),
+            F.max("version").alias("version"),
+        )
 
-def current_spikes(spark: SparkSession, table: MergedTable, opts: Options = DEFAULTS) -> DataFrame:
-    """Severe lines among the last lines of every file, as of the last batch."""
-    return (
-        table.read(spark)
-        .groupBy("file")
-        .agg(F.count_if("severe").alias("errors"))
-        .withColumn("spike", F.col("errors") >= opts.spike_threshold)
-    )
+    return MergedTable(path, FILE_SPIKE, newest)
 
 
 def start_spikes(
     lines: DataFrame, table: MergedTable, checkpoint: str, opts: Options = DEFAULTS
 ) -> StreamingQuery:
+    def write(batch: DataFrame, number: int) -> None:
+        table.write_batch(batch, number)
+        if (number + 1) % FOLD_EVERY == 0:
+            table.fold(batch.sparkSession)
+
     return (
-        lines.writeStream.option("checkpointLocation", checkpoint)
+        spike_counts(lines, opts)
+        .writeStream.option("checkpointLocation", checkpoint)
         .queryName("spikes")
+        .outputMode("update")
         .trigger(processingTime="15 seconds")
-        .foreachBatch(lambda batch, number: write_spike_flags(batch, number, table, opts))
+        .foreachBatch(write)
         .start()
     )
 

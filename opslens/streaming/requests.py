@@ -2,81 +2,91 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.ordering import first_per_request
 from ..operators.sqltrack import as_deltas, issues_of, merge_issues
 from ..options import DEFAULTS, Options
-from ..schemas import ISSUE_DELTA, OPEN_SAMPLE, QUERY_SAMPLE
-from ..sources.tables import MergedTable, SnapshotTable
+from ..schemas import ISSUE_DELTA, QUERY_SAMPLE
+from ..sources.tables import MergedTable
+
+# Batches written between two folds.
+FOLD_EVERY = 50
+
+_FIELDS = ("seq", "at", "url", "sql", "params_json", "ms", "caller")
+
 
 def issue_table(path: str) -> MergedTable:
     return MergedTable(path, ISSUE_DELTA, merge_issues)
 
 
-def open_table(path: str) -> SnapshotTable:
-    """Samples of the requests that have not ended; every batch stores the whole set anew."""
-    return SnapshotTable(path, OPEN_SAMPLE)
+def closed_requests(samples: DataFrame, opts: Options = DEFAULTS, idle_s: int = 60) -> DataFrame:
+    """Stream of the samples of requests that have ended.
 
+    A request ends with a marked sample, or when it has been silent for ``idle_s`` against the newest
+    time seen; samples older than that are late and dropped. Until then its first samples, as many as
+    count, are Spark's state under the request. Samples without a time are left out.
+    """
+    cap = opts.samples_per_request
 
-def close_requests(
-    samples: DataFrame,
-    batch: int,
-    issues: MergedTable,
-    waiting: SnapshotTable,
-    opts: Options = DEFAULTS,
-    idle_s: int = 60,
-) -> None:
-    """One micro-batch: find issues of the requests that ended, keep the samples of the others.
+    def collect(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, active = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        ended = state.hasTimedOut
+        for batch in [] if ended else batches:
+            active = max(active, int(batch["at"].max()))
+            ended = ended or bool(batch["ended"].fillna(False).astype(bool).any())
+            own = batch[batch["sql"].notna()][list(_FIELDS)].astype(object)
+            held += own.where(own.notna(), None).values.tolist()
+            held = sorted(held, key=lambda row: row[0])[:cap]
+        if ended or active // 1000 <= state.getCurrentWatermarkMs():
+            state.remove()
+            if held:
+                yield pd.DataFrame([(key[0], *row) for row in held], columns=["request_id", *_FIELDS])
+        else:
+            state.update((json.dumps(held, default=float), active))
+            state.setTimeoutTimestamp(active // 1000)
 
-    A request ends with a marked sample, or when it has been silent for ``idle_s`` against the
-    newest time seen. Of an open request only the samples that count are kept. Both tables are
-    written under the batch's number, from the state of the batch before, so a repeat is harmless.
-    """
-    spark = samples.sparkSession
-    arrived = samples.withColumn("active", F.col("ts"))
-    columns = [*OPEN_SAMPLE.names, "ended"]
-    known = (
-        waiting.read(spark, batch)
-        .withColumn("ended", F.lit(False))
-        .select(*columns)
-        .unionByName(arrived.select(*columns))
-        .persist()
-    )
-    try:
-        newest = known.agg(F.max("active")).first()[0]
-        if newest is None:
-            return
-        silent = F.max("active") < F.lit(newest) - F.make_interval(secs=F.lit(idle_s))
-        ends = known.groupBy("request_id").agg(
-            (F.bool_or(F.coalesce("ended", F.lit(False))) | silent).alias("closed"),
-            F.max("active").alias("active"),
+    rows = samples.where(F.col("ts").isNotNull()).withWatermark("ts", f"{idle_s} seconds")
+    closed = (
+        rows.withColumn("at", F.unix_micros("ts"))
+        .groupBy("request_id")
+        .applyInPandasWithState(
+            collect,
+            "request_id string, seq bigint, at bigint, url string, sql string, params_json string, "
+            "ms double, caller string",
+            "samples string, active bigint",
+            "append",
+            GroupStateTimeout.EventTimeTimeout,
         )
-        # Capped before the join, so a request of any length adds few rows to it.
-        counted = first_per_request(known.where(F.col("sql").isNotNull()), opts.samples_per_request)
-        marked = counted.drop("active").join(ends, "request_id")
-        closed = marked.where("closed").select(*QUERY_SAMPLE.names)
-        issues.write_batch(as_deltas(issues_of(closed, opts)), batch)
-        waiting.write(marked.where(~F.col("closed")).select(*OPEN_SAMPLE.names), batch)
-    finally:
-        known.unpersist()
+    )
+    return closed.withColumn("ts", F.timestamp_micros("at")).select(*QUERY_SAMPLE.names)
 
 
 def start_requests(
     samples: DataFrame,
     issues: MergedTable,
-    waiting: SnapshotTable,
     checkpoint: str,
     opts: Options = DEFAULTS,
     idle_s: int = 60,
+    once: bool = False,
 ) -> StreamingQuery:
-    return (
-        samples.writeStream.option("checkpointLocation", checkpoint)
+    """Write the issues of ended requests, batch by batch; a repeated batch replaces its own rows."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        issues.write_batch(as_deltas(issues_of(batch, opts)), number)
+        if (number + 1) % FOLD_EVERY == 0:
+            issues.fold(batch.sparkSession)
+
+    writer = (
+        closed_requests(samples, opts, idle_s)
+        .writeStream.option("checkpointLocation", checkpoint)
         .queryName("requests")
-        .trigger(processingTime=f"{opts.flush_ms} milliseconds")
-        .foreachBatch(
-            lambda batch, number: close_requests(batch, number, issues, waiting, opts, idle_s)
-        )
-        .start()
+        .foreachBatch(write)
     )
+    trigger = {"availableNow": True} if once else {"processingTime": f"{opts.flush_ms} milliseconds"}
+    return writer.trigger(**trigger).start()

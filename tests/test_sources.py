@@ -12,7 +12,7 @@ from opslens.operators.search import grep, line_matches
 from opslens.schemas import struct, LONG, STRING
 from opslens.sources.files import catalogue, read_lines, stored_bytes
 from opslens.sources.growing import grep_window, next_offsets, read_from, read_window, register_source
-from opslens.sources.tables import MergedTable, SnapshotTable
+from opslens.sources.tables import MergedTable
 
 
 def write(folder, name, text, mode="w"):
@@ -207,12 +207,3 @@ def test_unfinished_writes_are_ignored(spark, tmp_path):
     table.write_batch(spark.createDataFrame([("a", 1)], "key string, n bigint"), 0)
     os.makedirs(tmp_path / "t" / "rows" / "writer=direct" / "batch=1")
     assert table.content(spark).batches == (("direct", 0),)
-
-
-def test_snapshot_table(spark, tmp_path):
-    table = SnapshotTable(str(tmp_path / "s"), COUNTS)
-    assert table.read(spark).count() == 0
-    for batch in range(3):
-        table.write(spark.createDataFrame([("a", batch)], COUNTS), batch)
-    assert table.read(spark).first().n == 2
-    assert table.read(spark, before=2).first().n == 1

@@ -21,15 +21,14 @@ from opslens.streaming.ingest import (
     write_groups,
 )
 from opslens.streaming.monitors import (
-    current_spikes,
     endpoint_table,
     minute_rates,
     spike_table,
+    start_spikes,
     throttle_reports,
     write_endpoints,
-    write_spike_flags,
 )
-from opslens.streaming.requests import close_requests, issue_table, open_table
+from opslens.streaming.requests import issue_table, start_requests
 
 T0 = datetime(2024, 1, 1)
 
@@ -196,20 +195,21 @@ def test_minute_rates(spark, tmp_path):
     assert {(r.minute.minute, r.lines) for r in rates.collect()} == {(0, 3), (1, 4), (2, 3)}
 
 
-def test_spike_flags_over_batches(spark, tmp_path):
+def test_spikes_across_restarts(spark, tmp_path):
     table = spike_table(str(tmp_path / "t"))
-    for batch, level in enumerate(["ERROR"] * 30 + ["INFO"] * 48):
-        if batch % 10:
-            continue
-        rows = [("a.log", 0, batch * 10 + i, f"x.{level}: y") for i in range(100 if level == "INFO" else 10)]
-        write_spike_flags(spark.createDataFrame(rows, LOG_LINE), batch, table)
-    # 30 severe lines, then 500 others.
-    got = current_spikes(spark, table).first()
-    assert (got.errors, got.spike) == (0, False)
-    write_spike_flags(spark.createDataFrame([("a.log", 0, 9_000 + i, "x.CRITICAL: y") for i in range(20)], LOG_LINE), 100, table)
-    got = current_spikes(spark, table).first()
-    assert (got.errors, got.spike) == (20, True)
-    assert table.read(spark).count() == 500
+
+    def grow(*batches):
+        """Each batch is read by a query of its own, from where the last one stopped."""
+        for text, count in batches:
+            append(tmp_path / "a.log", *[f"x.{text}: y"] * count)
+            drain(start_spikes(stream_lines(spark, str(tmp_path)), table, str(tmp_path / "cp")))
+        row = table.read(spark).first()
+        return row.errors, row.spike
+
+    assert grow(("ERROR", 30)) == (30, True)
+    assert grow(("INFO", 480)) == (20, True)
+    assert grow(("INFO", 10), ("INFO", 700)) == (0, False)
+    assert grow(("CRITICAL", 19)) == (19, False)
 
 
 def test_throttle_stream(spark, tmp_path):
@@ -248,8 +248,10 @@ def test_endpoints_in_batches(spark, tmp_path):
 
 
 def test_requests_close_by_mark_or_silence(spark, tmp_path):
-    issues, waiting = issue_table(str(tmp_path / "i")), open_table(str(tmp_path / "w"))
-    opts = Options(n1_threshold=2)
+    issues = issue_table(str(tmp_path / "i"))
+    opts = Options(n1_threshold=2, samples_per_request=4)
+    source = str(tmp_path / "in")
+    (tmp_path / "in").mkdir()
 
     def sample(request, seq, second, ended=False, sql="SELECT 1"):
         return (request, seq, at(second), f"/{request}", sql, "{}", 1.0, request, ended)
@@ -257,17 +259,21 @@ def test_requests_close_by_mark_or_silence(spark, tmp_path):
     batches = [
         [sample("a", 0, 0), sample("a", 1, 1), sample("b", 0, 2)],
         [sample("a", 2, 3), sample("a", 3, 3, True, None), sample("b", 1, 4), sample("b", 2, 5)],
-        [sample("c", 0, 66)],
+        [sample("c", 0, 30), *[sample("d", i, 31) for i in range(9)], sample("d", 9, 32, True)],
+        [sample("c", 1, 66)],
     ]
     counts = []
-    for number, rows in enumerate(batches):
-        df = spark.createDataFrame(rows, STREAMED_SAMPLE)
-        for _ in range(2):  # a repeat changes nothing
-            close_requests(df, number, issues, waiting, opts)
+    for rows in batches:  # every batch by a query of its own, from where the last one stopped
+        spark.createDataFrame(rows, STREAMED_SAMPLE).coalesce(1).write.mode("append").parquet(source)
+        samples = spark.readStream.schema(STREAMED_SAMPLE).parquet(source)
+        start_requests(samples, issues, str(tmp_path / "cp"), opts, once=True).awaitTermination()
         counts.append([r.executions for r in issue_rows(issues.read(spark)).collect()])
-    # a ends with its mark, b by silence; c stays open.
-    assert counts == [[], [3], [6]]
-    assert [r.request_id for r in waiting.read(spark).collect()] == ["c"]
-    every = spark.createDataFrame([r for b in batches[:2] for r in b if r[4]], STREAMED_SAMPLE).drop("ended")
+    # a and d end with their marks, d with the four samples that count, b by silence; c stays open.
+    assert counts == [[], [3], [7], [10]]
+    kept = [r for b in batches for r in b if r[4] and r[0] in "abd" and r[1] < 4]
+    every = spark.createDataFrame(kept, STREAMED_SAMPLE).drop("ended")
     batch = issue_rows(merge_issues(as_deltas(issues_of(every, opts)).withColumn("version", F.lit(0)))).first()
-    assert issue_rows(issues.read(spark)).first() == batch
+    got = issue_rows(issues.read(spark)).first()
+    # The advice is that of the batch that came last, here of b, in time before d.
+    for name in ("template", "is_n1", "is_slow", "executions", "worst_n1", "worst_slow_ms"):
+        assert got[name] == batch[name]
