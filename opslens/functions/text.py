@@ -57,11 +57,12 @@ def collapse_spaces(value: Column | str) -> Column:
 
 
 def sql_template(sql: Column | str) -> Column:
-    """SQL text with comments dropped, literals replaced and IN lists collapsed."""
+    """SQL text with comments dropped, literals replaced and IN lists collapsed, in full length: a
+    stored column clips it only after statements were grouped by it."""
     c = F.coalesce(as_col(sql), F.lit(""))
     for pattern, replacement in SQL_TEMPLATE_RULES:
         c = F.regexp_replace(c, pattern, replacement)
-    return clip(F.trim(c), "template")
+    return F.trim(c)
 
 
 def is_select(sql: Column | str) -> Column:

@@ -125,9 +125,13 @@ def carry_forward(
 
 
 def carry_time(
-    lines: DataFrame, time: str = "line_ts", out: str = "carried", keep: Column | None = None
+    lines: DataFrame,
+    time: str = "line_ts",
+    out: str = "carried",
+    keep: Column | None = None,
+    bits: int = CHUNK_BITS,
 ) -> DataFrame:
     """Carry the last time seen in a file to the lines after it (stack traces)."""
     return carry_forward(
-        with_chunk(lines), ["file"], ["block", "chunk"], "seq", time, out, keep=keep
+        with_chunk(lines, bits=bits), ["file"], ["block", "chunk"], "seq", time, out, keep=keep
     ).drop("chunk")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import is_select, mask_params, number_text, params_fingerprint, sql_template
+from ..functions.text import clip, is_select, mask_params, number_text, params_fingerprint, sql_template
 from ..options import DEFAULTS, Options
 from .ordering import first_per_request, last_known, top_per_group
 
@@ -196,12 +196,10 @@ def issues_of(samples: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
     return find_issues(template_stats(samples, opts), opts)
 
 
-def explain_candidates(issues: DataFrame) -> DataFrame:
-    """Slow SELECT issues whose plan is worth reading: the first few of every request."""
+def explain_candidates(issues: DataFrame, n: int | None = EXPLAINS_PER_REQUEST) -> DataFrame:
+    """Slow SELECT issues whose plan is worth reading: the first ``n`` of every request (None: all)."""
     slow = issues.where(F.col("is_slow") & F.col("is_select"))
-    return top_per_group(
-        slow, ["request_id"], [F.asc("first_seq"), F.asc("template")], EXPLAINS_PER_REQUEST
-    )
+    return top_per_group(slow, ["request_id"], [F.asc("first_seq"), F.asc("template")], n)
 
 
 def as_deltas(issues: DataFrame) -> DataFrame:
@@ -268,7 +266,7 @@ def issue_rows(merged: DataFrame) -> DataFrame:
     """The issue table as it is read: caller, parameters and url of the last record breaker."""
     by = F.when(F.col("slow_by.at") >= F.col("n1_by.at"), F.col("slow_by")).otherwise(F.col("n1_by"))
     return merged.withColumn("by", by).select(
-        "template",
+        clip("template", "template").alias("template"),
         "is_n1",
         "is_slow",
         "executions",

@@ -53,6 +53,8 @@ from .views import (
 )
 
 NTZ = "timestamp_ntz"
+# Digests of everything, where the limits are not the point.
+ALL = Options(exception_groups=None, repeat_groups=None, throughput_minutes=None)
 GREP_FILES = ("error.log", "view.log", "click.log")
 
 
@@ -75,6 +77,26 @@ WITH {LOG_SQL}
 SELECT file, seq, ts, channel, level, level_name, message, context, NULL::VARCHAR AS extra FROM v_log"""
 
 
+def log_parse_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose context and extra nest, with braces and quotes in their strings."""
+    view = log_view(spark, sf_dir)
+    number = F.col("seq").cast("string")
+    context = F.concat(F.lit('{"a":{"b":[{"n":'), number, F.lit('},[[]]],"s":"} \\" {"},"t":"x"}'))
+    extra = F.concat(F.lit('{"e":{"f":{"g":'), number, F.lit("}}}"))
+    head = F.regexp_extract("line", r"^(\[[^\]]+\] \S+ [^{]*)", 1)
+    records = parse_records(
+        lines(view.withColumn("line", F.concat(head, context, F.lit(" "), extra)))
+    )
+    return records.select("file", "seq", "message", "context", "extra")
+
+
+LOG_PARSE_NESTED = f"""
+WITH {LOG_SQL}
+SELECT file, seq, message,
+  '{{"a":{{"b":[{{"n":' || seq || '}},[[]]],"s":"}} \\" {{"}},"t":"x"}}' AS context,
+  '{{"e":{{"f":{{"g":' || seq || '}}}}}}' AS extra FROM v_log"""
+
+
 def log_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = group_records(at_least(_records(spark, sf_dir), "WARNING"))
     return groups.select(
@@ -208,11 +230,9 @@ FROM newest GROUP BY file"""
 
 
 def carried_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line with the time it falls under."""
-
-
+    """Every line with the time it falls under, handed on over many chunks of a file."""
     marked = exception_view(spark, sf_dir).withColumn("line_ts", carried_time("line"))
-    return carry_time(marked).select("file", "seq", *_ntz("carried"))
+    return carry_time(marked, bits=8).select("file", "seq", *_ntz("carried"))
 
 
 CARRIED_SQL = r"""
@@ -226,7 +246,7 @@ CARRIED_TIMES = f"WITH {EXCEPTION_SQL}, {CARRIED_SQL.replace('{source}', 'v_exc'
 
 
 def exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digest_columns(exception_digest(exception_view(spark, sf_dir)))
+    return _digest_columns(exception_digest(exception_view(spark, sf_dir), opts=ALL))
 
 
 def exceptions_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,15 +295,15 @@ SELECT g.file, row_number() OVER (PARTITION BY g.file ORDER BY g.count DESC, g.a
 FROM grouped g
 JOIN numbered f ON f.file = g.file AND f.key = g.key AND f.n = 1
 LEFT JOIN numbered l ON l.file = g.file AND l.key = g.key AND l.seq = g.last_at
-QUALIFY row_number() OVER (PARTITION BY g.file ORDER BY g.count DESC, g.at) <= 50"""
+{"QUALIFY rank <= 50" if tail else ""}"""
 
 
 def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _repeat_columns(repeated_lines(exception_view(spark, sf_dir)))
+    return _repeat_columns(repeated_lines(exception_view(spark, sf_dir), opts=ALL))
 
 
 def repeats_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _repeat_columns(repeated_lines(document_lines(spark, sf_dir)))
+    return _repeat_columns(repeated_lines(document_lines(spark, sf_dir), opts=ALL))
 
 
 def _repeat_columns(digest: DataFrame) -> DataFrame:
@@ -319,12 +339,12 @@ SELECT g.file, row_number() OVER (PARTITION BY g.file ORDER BY g.count DESC, g.a
   CASE WHEN g.count >= 10 THEN 'high' WHEN g.count >= 3 THEN 'mid' ELSE 'low' END AS class
 FROM grouped g
 JOIN numbered f ON f.file = g.file AND f.key = g.key AND f.n = 1
-JOIN numbered l ON l.file = g.file AND l.key = g.key AND l.back = 1
-QUALIFY row_number() OVER (PARTITION BY g.file ORDER BY g.count DESC, g.at) <= 200"""
+JOIN numbered l ON l.file = g.file AND l.key = g.key AND l.back = 1"""
 
 
 def throughput_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return throughput_labels(lines(log_view(spark, sf_dir)).unionByName(exception_view(spark, sf_dir)))
+    both = lines(log_view(spark, sf_dir)).unionByName(exception_view(spark, sf_dir))
+    return throughput_labels(both, opts=ALL)
 
 
 THROUGHPUT_LABEL = rf"""
@@ -335,8 +355,7 @@ labelled AS (
   FROM marked WHERE line <> ''),
 totals AS (SELECT file, count(*) AS total_lines FROM labelled GROUP BY file),
 counted AS (
-  SELECT file, label, count(*) AS lines FROM labelled WHERE label IS NOT NULL GROUP BY file, label
-  QUALIFY row_number() OVER (PARTITION BY file ORDER BY label DESC) <= 60)
+  SELECT file, label, count(*) AS lines FROM labelled WHERE label IS NOT NULL GROUP BY file, label)
 SELECT c.file, c.label, c.lines, max(c.lines) OVER (PARTITION BY c.file) AS max_lines, t.total_lines
 FROM counted c JOIN totals t USING (file)"""
 
@@ -486,6 +505,7 @@ SELECT seq AS id, channel, message FROM v_log WHERE channel = 'app1' AND seq > 5
 
 QUERIES = {
     "log_parse": (log_parse, LOG_PARSE),
+    "log_parse_nested": (log_parse_nested, LOG_PARSE_NESTED),
     "log_groups": (log_groups, LOG_GROUPS),
     "log_ungrouped": (log_ungrouped, LOG_UNGROUPED),
     "record_origin": (record_origin, RECORD_ORIGIN),

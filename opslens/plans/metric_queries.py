@@ -88,6 +88,16 @@ def endpoint_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENDPOINT_MERGE = f"WITH {TIMING_SQL}, {_stats_sql()} SELECT * FROM stats"
 
 
+def endpoint_toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands and queue topics are not tracked."""
+    opts = Options(track_cli=False, track_mq=False, tracked_statuses=(404,))
+    return _stat_columns(endpoint_stats(timing_view(spark, sf_dir), opts))
+
+
+ENDPOINT_TOGGLES = f"""
+WITH {TIMING_SQL}, {_stats_sql("type = 'http' AND coalesce(status, 404) = 404")} SELECT * FROM stats"""
+
+
 def endpoint_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = endpoint_stats(timing_view(spark, sf_dir), Options(tracked_statuses=()))
     shown = view_rows(stats, "endpoints", {"type": "http"}, {"path": "/u1"}, limit=100)
@@ -186,6 +196,17 @@ SELECT instance_id, collected_at,
 FROM stepped"""
 
 
+def cpu_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = host_view(spark, sf_dir).select("instance_id", "collected_at", "load")
+    used = cpu_usage(host_view(spark, sf_dir)).join(hosts, ["instance_id", "collected_at"])
+    rows = classify_hosts(used.withColumns({"mem_pct": F.lit(0.0), "disk_pct": F.lit(0.0)}), now())
+    return rows.groupBy("cpu_class").agg(F.count(F.lit(1)).alias("snapshots"))
+
+
+CPU_CLASSES = f"""
+SELECT {_band('cpu_pct', 75, 90)} AS cpu_class, count(*) AS snapshots FROM ({CPU_DELTA}) GROUP BY 1"""
+
+
 def processes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_processes(host_view(spark, sf_dir)).select(
         "instance_id", F.col("collected_at").cast("timestamp_ntz").alias("collected_at"),
@@ -296,11 +317,13 @@ QUERIES = {
     "path_templates": (path_templates, PATH_TEMPLATES),
     "endpoint_stats": (endpoints, ENDPOINTS),
     "endpoint_merge": (endpoint_merge, ENDPOINT_MERGE),
+    "endpoint_toggles": (endpoint_toggles, ENDPOINT_TOGGLES),
     "endpoint_view": (endpoint_view, ENDPOINT_VIEW),
     "queue_topics": (queue_topics, QUEUE_TOPICS),
     "fleet_latest": (fleet_latest, FLEET_LATEST),
     "fleet_summary": (fleet_totals, FLEET_TOTALS),
     "cpu_delta": (cpu_delta, CPU_DELTA),
+    "cpu_classes": (cpu_classes, CPU_CLASSES),
     "top_processes": (processes, PROCESSES),
     "instance_ids": (instance_ids, INSTANCE_IDS),
     "memory_text": (memory_text, MEMORY_TEXT),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import command_url, mask_params, request_url
+from ..functions.text import CLIP, clip, command_url, mask_params, request_url, sql_template
 from ..operators.ordering import first_per_request
 from ..operators.search import view_rows
 from ..operators.sqltrack import (
@@ -23,7 +23,7 @@ from ..options import Options
 from .views import PLAN_SQL, SAMPLE_SQL, plan_view, sample_view, table
 
 # Orders hold few items, so the thresholds are low.
-OPTS = Options(n1_threshold=2, slow_sql_ms=10.0)
+OPTS = Options(n1_threshold=2, slow_sql_ms=10.0, samples_per_request=None)
 CAP = Options(n1_threshold=2, samples_per_request=3)
 
 TEMPLATED_SQL = rf"""
@@ -36,11 +36,12 @@ templated AS (
   FROM v_sql)"""
 
 
-def _stats_sql(cap: int) -> str:
+def _stats_sql(cap: int | None) -> str:
+    capped = f"QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY seq) <= {cap}" if cap else ""
     return f"""
 {TEMPLATED_SQL},
 kept AS (
-  SELECT * FROM templated QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY seq) <= {cap}),
+  SELECT * FROM templated {capped}),
 worst AS (
   SELECT request_id, template, caller, params_json FROM kept
   QUALIFY row_number() OVER (PARTITION BY request_id, template ORDER BY ms DESC, seq) = 1),
@@ -61,7 +62,7 @@ stats AS (
 
 
 ISSUES_SQL = f"""
-{_stats_sql(500)},
+{_stats_sql(None)},
 flagged AS (
   SELECT *, executions > 2 AS is_n1, max_ms > 10 AS is_slow FROM stats
   WHERE executions > 2 OR max_ms > 10),
@@ -164,6 +165,66 @@ def explain_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
 EXPLAIN_PICKS = f"WITH {ISSUES_SQL} SELECT request_id, template FROM issues WHERE is_slow"
 
 
+def explain_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the first slow template of a request, where many have two."""
+    return explain_candidates(_issues(spark, sf_dir), 1).select("request_id", "template")
+
+
+EXPLAIN_FIRST = f"""
+WITH {ISSUES_SQL},
+first AS (SELECT request_id, template, min(seq) AS first_seq FROM kept GROUP BY ALL)
+SELECT request_id, template FROM issues JOIN first USING (request_id, template) WHERE is_slow
+QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY first_seq, template) = 1"""
+
+
+def sql_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as statements over one table per type."""
+    p = table(spark, sf_dir, "part")
+    sql = F.concat(
+        F.lit("SELECT a.*, 'it''s' FROM "), F.replace("p_type", F.lit(" "), F.lit("_")),
+        F.lit(" a  WHERE size = "), F.col("p_size"), F.lit("\n AND name in ('"), F.col("p_brand"), F.lit("', 'x')"),
+    )
+    return p.select(sql_template(sql).alias("template")).groupBy("template").agg(F.count(F.lit(1)).alias("statements"))
+
+
+SQL_SHAPES = """
+SELECT 'SELECT a.*, ?? FROM ' || replace(p_type, ' ', '_') || ' a WHERE size = ? AND name IN (?)' AS template,
+  count(*) AS statements FROM part GROUP BY 1"""
+
+
+def clipped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts longer than each stored column."""
+    c = table(spark, sf_dir, "customer")
+    long = F.repeat(F.concat("c_name", F.lit("é𝒳")), 4_000)
+    return c.select("c_custkey", *[F.md5(clip(long, kind)).alias(kind) for kind in CLIP])
+
+
+CLIPPED_TEXTS = "SELECT c_custkey, " + ", ".join(
+    f"md5(substr(repeat(c_name || 'é𝒳', 4000), 1, {n})) AS {kind}" for kind, n in CLIP.items()
+) + " FROM customer"
+
+
+def mask_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with backslashes, escapes and capitals, lists of objects, and what is not JSON."""
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey").cast("string")
+    shapes = [
+        ('{"App\\\\Token":"', '"}'), ('{"to\\u006ben":"', '","n":1}'), ('[{"Api_Key":"', '"},{"k":[2]}]'),
+        ('{"SECRET":"', '"'), ('{"q":"say \\"token\\": 5","authKey":"', '"}'), ('{"plain":"token ', '"}'),
+    ]
+    params = F.lit(None)
+    for i, (before, after) in enumerate(shapes):
+        params = F.when(F.col("c_custkey") % len(shapes) == i, F.concat(F.lit(before), key, F.lit(after))).otherwise(params)
+    return c.select("c_custkey", mask_params(params).alias("masked"))
+
+
+MASK_ODD = r"""
+SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN '{"App\\Token":"***"}' WHEN 1 THEN '{"token":"***","n":1}'
+  WHEN 2 THEN '[{"Api_Key":"***"},{"k":[2]}]' WHEN 3 THEN '"***"'
+  WHEN 4 THEN '{"q":"say \"token\": 5","authKey":"***"}' ELSE '{"plain":"token ' || c_custkey || '"}' END AS masked
+FROM customer"""
+
+
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues stored in three batches by year, then merged."""
     deltas = as_deltas(_issues(spark, sf_dir)).withColumn(
@@ -350,6 +411,10 @@ QUERIES = {
     "sql_issues": (sql_issues, SQL_ISSUES),
     "sql_advice": (sql_advice, SQL_ADVICE),
     "explain_picks": (explain_picks, EXPLAIN_PICKS),
+    "explain_first": (explain_first, EXPLAIN_FIRST),
+    "sql_shapes": (sql_shapes, SQL_SHAPES),
+    "clipped_texts": (clipped_texts, CLIPPED_TEXTS),
+    "mask_odd": (mask_odd, MASK_ODD),
     "issue_merge": (issue_merge, ISSUE_MERGE),
     "issue_attribution": (issue_attribution, ISSUE_ATTRIBUTION),
     "issue_view": (issue_view, ISSUE_VIEW),
