@@ -31,11 +31,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: computed once, lineage cut."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, name: str, reduced: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, lineage cut.
+
+    What was ``reduced`` by grouping is written as a file per core instead of per shuffle partition.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    out = df.coalesce(spark.sparkContext.defaultParallelism) if reduced else df
+    out.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +79,7 @@ def components(edges: DataFrame) -> DataFrame:
     ones, until each component is a star. Minima combine before the shuffle; a table is written per
     round, and only a row count and a checksum reach the driver.
     """
-    edges = stored(edges.where("a <> b").distinct(), "edges")
+    edges = stored(edges.where("a <> b").distinct(), "edges", True)
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -85,7 +90,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         own = least.select("a", F.col("m").alias("b"))
-        edges = stored(small.unionByName(own).distinct(), "edges")
+        edges = stored(small.unionByName(own).distinct(), "edges", True)
         state = tuple(
             edges.agg(
                 F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))

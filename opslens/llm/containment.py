@@ -128,7 +128,7 @@ def contained(
     body = F.col(text_col)
     tests = benchmark.select(F.col(item_col).alias("item"), F.xxhash64(body).alias("version"), body.alias("body"))
     tests = tests.dropDuplicates(["item", "version"])
-    spelt = stored(sketches(shingled(tests, "item bigint, version bigint")), "item-shingles")
+    spelt = stored(sketches(shingled(tests, "item bigint, version bigint")), "item-shingles", True)
     bitmap = item_bitmap(spelt)
     texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(body).alias("mark"), body.alias("body"))
     hits = shingled(texts, "doc bigint, mark bigint", bitmap)
@@ -158,5 +158,5 @@ def contained(
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that hold no item. All rows with the id of one that does go, too."""
     found = contained(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_leak")).distinct()
-    found = stored(found, "leaks")
+    found = stored(found, "leaks", True)
     return docs.join(found, F.col(id_col).eqNullSafe(F.col("_leak")), "left_anti")

@@ -197,7 +197,7 @@ def line_index(lines: DataFrame) -> tuple[DataFrame, Column]:
     keys = lines.groupBy("h1", "h2").agg(
         F.min("doc").alias("least"), F.max("doc").alias("most"), F.count_if("first").alias("docs")
     )
-    keys = stored(keys.where("least < most").select("h1", "h2", "least", "docs"), "line-keys")
+    keys = stored(keys.where("least < most").select("h1", "h2", "least", "docs"), "line-keys", True)
     shard = F.pmod("h1", F.lit(max(-(-keys.count() // SHARD_KEYS), MIN_SHARDS))).cast("int")
     return keys.withColumn("shard", shard).groupBy("shard").applyInArrow(build_shard, SHARD), shard
 
@@ -224,7 +224,7 @@ def repeated_lines(
     slices = lines.groupBy(shard.alias("shard")).agg(
         F.ceil(F.count("*") / GROUP_PROBES).cast("int").alias("slices")
     )
-    slices = stored(slices, "line-slices")
+    slices = stored(slices, "line-slices", True)
     part = F.pmod(F.xxhash64("doc", "mark", "line"), F.col("slices")).cast("int")
     probes = lines.withColumn("shard", shard).join(F.broadcast(slices), "shard")
     probes = probes.select("doc", "mark", "line", "h1", "h2", "shard", part.alias("slice"))

@@ -55,7 +55,7 @@ def source_targets(sources: DataFrame) -> DataFrame:
     place = spread.join(F.broadcast(parts), "part").withColumn("place", F.col("before") + within - 1)
     weights = F.array(*[F.lit(w) for w in WEIGHTS])
     weight = F.element_at(weights, (F.col("place") % len(WEIGHTS) + 1).cast("int"))
-    weighed = stored(place.withColumn("weight", weight).drop("part", "before", "place"), "weighed")
+    weighed = stored(place.withColumn("weight", weight).drop("part", "before", "place"), "weighed", True)
     # The level at which a unit of weight is served. Sources that would pass CAP times their size
     # stop there, and the others share what remains; this only ever raises the level.
     level, stopped = 0.0, -1
@@ -93,7 +93,7 @@ def tilts(cells: DataFrame, sources: DataFrame) -> DataFrame:
         F.when(ratio < 1, 0.0).otherwise(F.ln(F.lit(float(CAP))) * reach).alias("high"),
         F.lit(1.0).alias("error"),
     )
-    state = stored(state, "tilts")
+    state = stored(state, "tilts", True)
     for _ in range(STEPS):
         x = F.col("size") / F.col("mean")
         raw = F.exp(F.col("tilt") * x)
@@ -116,6 +116,7 @@ def tilts(cells: DataFrame, sources: DataFrame) -> DataFrame:
                 F.when(done, 0.0).otherwise(error).alias("error"),
             ),
             "tilts",
+            True,
         )
         if (state.agg(F.max("error")).first()[0] or 0.0) == 0.0:
             break
@@ -138,7 +139,7 @@ def copies(cells: DataFrame, tilted: DataFrame) -> DataFrame:
     least = (F.col("n") * F.floor("rate")).cast("bigint").alias("least")
     most = (F.col("n") * F.ceil("rate")).cast("bigint").alias("most")
     rounded = rounded.select(*SOURCE, "size", "n", "target", "rate", "copies", "rank", least, most)
-    rounded = stored(rounded, "copies")
+    rounded = stored(rounded, "copies", True)
     left = rounded.groupBy(*SOURCE).agg(
         (F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("left"),
         # At most EVENED_SIZES cells of a source.
@@ -184,15 +185,15 @@ def mixed(
         word_count(text_col).alias("size"),
     )
     rows = stored(rows.withColumn("slot", slot), "sizes")
-    slots = stored(rows.groupBy(*SOURCE, "size", "slot").agg(F.count("*").alias("n")), "slots")
-    cells = stored(slots.groupBy(*SOURCE, "size").agg(F.sum("n").alias("n")), "cells")
+    slots = stored(rows.groupBy(*SOURCE, "size", "slot").agg(F.count("*").alias("n")), "slots", True)
+    cells = stored(slots.groupBy(*SOURCE, "size").agg(F.sum("n").alias("n")), "cells", True)
     sources = cells.groupBy(*SOURCE).agg(
         F.sum(F.col("n") * F.col("size")).alias("source_size"),
         F.sum(F.when(F.col("size") > 0, F.col("n"))).alias("n_docs"),
         F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least_size"),
     )
-    targets = stored(source_targets(sources), "targets")
-    taken = copies(cells, stored(tilts(cells, targets), "tilted")).withColumnRenamed("n", "of")
+    targets = stored(source_targets(sources), "targets", True)
+    taken = copies(cells, stored(tilts(cells, targets), "tilted", True)).withColumnRenamed("n", "of")
     # Of a cell's copies every document gets the whole part; the rest goes to slots in proportion.
     dealt = slots.join(taken, [*SOURCE, "size"])
     order = Window.partitionBy(*SOURCE, "size").orderBy("slot")

@@ -244,7 +244,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, mark: Column) -> DataFr
     rows = docs.select(F.col(id_col).alias("doc"), mark.alias("mark"), F.col(text_col).alias("body"))
     rows = stored(rows.select("doc", "mark", fingerprint_of("body").alias("fp")), "fingerprints")
     own = rows.groupBy("fp").agg(F.min("doc").alias("least"), F.count("*").alias("n"))
-    own = stored(own, "distinct")
+    own = stored(own, "distinct", True)
     found = components(links(own)).select(F.col("id").alias("fp"), F.col("component").alias("key"))
     # Most fingerprints are alone; the others' smallest id is found per component.
     keyed = own.join(found, "fp")
@@ -257,7 +257,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, mark: Column) -> DataFr
         F.coalesce("key", "fp").alias("key"),
         F.when(F.col("key").isNull(), F.col("least")).otherwise(F.col("component")).alias("component"),
     )
-    return lookup(rows, stored(named, "components"), "fp", "n")
+    return lookup(rows, stored(named, "components", True), "fp", "n")
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,5 +287,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     best = best.select(F.col("r.d").alias(names[0]), F.col("r.mark").alias(names[1])).distinct()
     tagged = docs.withColumns(dict(zip(names, (F.coalesce(id_col, last), mark))))
     rank = F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0)))
-    kept = tagged.join(stored(best, "kept"), list(names), "left_semi").withColumn("_near_rank", rank)
+    kept = tagged.join(stored(best, "kept", True), list(names), "left_semi").withColumn("_near_rank", rank)
     return kept.where("_near_rank = 1").select(*docs.columns)

@@ -82,7 +82,7 @@ def reputation(hosts: DataFrame) -> DataFrame:
             rates = counted.join(parent, keys[:-1])
         else:
             rates = counted.withColumn("mean", above)
-        rates = stored(rates, f"{level}-rates")
+        rates = stored(rates, f"{level}-rates", True)
         size = strength(rates)
         weight = F.col("n") + size
         posterior = (F.col("k") + size * F.col("mean")) / weight
@@ -120,9 +120,9 @@ def judged(
         F.count("*").alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k")
     )
     levels = {"domain": _last_labels(2), "suffix": _last_labels(1)}
-    hosts = stored(counted.withColumns(levels), "hosts")
+    hosts = stored(counted.withColumns(levels), "hosts", True)
     ranked = reputation(hosts).join(hosts.select("host", "pages"), "host")
-    found = lookup(rows, stored(ranked.select("host", "pages", "bad_rate", "bound"), "reputation"), "host", "pages")
+    found = lookup(rows, stored(ranked.select("host", "pages", "bad_rate", "bound"), "reputation", True), "host", "pages")
     own = F.when(F.col("bound") > bad_rate, "block").otherwise("allow")
     return found.select(
         F.col("page").alias(id_col), "host", "path", "rule",

@@ -43,7 +43,7 @@ def decided(pages: DataFrame, id_col: str, url_col: str, body_col: str) -> DataF
     keep = rows.where(F.col("bytes") >= MIN_REVISIT_BYTES).groupBy("digest").agg(
         F.max("page").alias("keep"), F.count("*").alias("n")
     )
-    keep = stored(keep.where("n > 1").drop("n"), "payloads")
+    keep = stored(keep.where("n > 1").drop("n"), "payloads", True)
     other = F.when(~F.col("page").eqNullSafe(F.col("keep")), F.col("keep"))
     return rows.join(keep, "digest", "left").withColumn("other", other).drop("keep")
 
