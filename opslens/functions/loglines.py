@@ -18,7 +18,8 @@ MINUTE_LABEL_ANY = r"\A\[\d{4}-\d{2}-\d{2}[T ](\d{2}:\d{2})"
 MINUTE_START = r"\A\[(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})"
 
 # An exception class: word and namespace characters ending in one of three suffixes.
-# A leading backslash counts only if another one follows within the name.
+# A leading backslash counts only if another one follows within the name. Written without a repetition
+# inside another, for speed.
 _CLASS = r"((?!\\\w*+(?!\\))[\w\\]*\w(?:Exception|Error|Throwable))"
 _CODE = r"(?:\(code:[^)]*\))?"
 EXCEPTION_OBJECT = (
@@ -27,6 +28,7 @@ EXCEPTION_OBJECT = (
 EXCEPTION_BARE = (
     r"(?U)(?d)\.(?:ERROR|CRITICAL).*?" + _CLASS + _CODE + r"[:\s]+(.{0,160}?)(?:\s*\{|\z)"
 )
+# What differs between equal exceptions.
 EXCEPTION_NOISE = (
     r"(?i)\b[0-9a-f]{6,}\b",
     r"\(\d+\)",
@@ -35,6 +37,7 @@ EXCEPTION_NOISE = (
     r"(?i)line\s+\d+",
 )
 SEVERE_LINE = r"\.(?:ERROR|CRITICAL):"
+# Marks of a level in a line.
 LEVEL_HITS = {
     "errors": r"\.(?:ERROR|CRITICAL):",
     "warnings": r"\.WARNING:",

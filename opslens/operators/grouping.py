@@ -153,6 +153,10 @@ def count_expired(
     return records.agg(F.count_if(older_than(now, hours, time)).alias("expired"))
 
 
+# A cut takes this multiple of the excess, and at most this share of all rows.
+CUT_FACTOR, CUT_SHARE = 1.2, 0.9
+
+
 @dataclass(frozen=True)
 class SizeCut:
     """How many of the oldest rows a size limit removes."""
@@ -166,8 +170,8 @@ class SizeCut:
         if size_bytes <= limit_bytes or total_rows <= 0:
             return cls(total_rows, 0)
         row_bytes = math.ceil(size_bytes / total_rows)
-        wanted = math.ceil((size_bytes - limit_bytes) * 1.2 / row_bytes)
-        return cls(total_rows, max(0, min(wanted, int(total_rows * 0.9))))
+        wanted = math.ceil((size_bytes - limit_bytes) * CUT_FACTOR / row_bytes)
+        return cls(total_rows, max(0, min(wanted, int(total_rows * CUT_SHARE))))
 
 
 def nth_smallest(df: DataFrame, column: str, n: int, buckets: int = 65_536) -> int:
