@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.loglines import RECORD_HEADER, parse_records, resolve_origin
@@ -49,12 +49,14 @@ def start_ingest(
 
     Batches follow the flush interval, or each other at once with ``immediate``. The checkpoint
     keeps the file positions; a batch repeated after a failure replaces its own rows.
-    ``query.lastProgress`` reports lines seen and kept.
+    The observed metrics of ``query.lastProgress`` count the lines seen, those with text, and those that
+    parsing rejects.
     """
     counted = lines.observe(
         "ingest",
         F.count(F.lit(1)).alias("lines"),
         F.count_if(F.length("line") > 0).alias("filled_lines"),
+        F.count_if(is_rejected()).alias("rejected_lines"),
     )
     writer = (
         counted.writeStream.option("checkpointLocation", checkpoint)
@@ -85,6 +87,10 @@ def start_append(
     )
 
 
+def is_rejected() -> Column:
+    return (trim_blanks("line") != "") & ~F.col("line").rlike(RECORD_HEADER)
+
+
 def rejected_lines(lines: DataFrame) -> DataFrame:
     """Non-empty lines that carry no record header: what parsing drops."""
-    return lines.where((trim_blanks("line") != "") & ~F.col("line").rlike(RECORD_HEADER))
+    return lines.where(is_rejected())
