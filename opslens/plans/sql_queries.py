@@ -22,9 +22,9 @@ from ..operators.sqltrack import (
 from ..options import Options
 from .views import PLAN_SQL, SAMPLE_SQL, plan_view, sample_view, table
 
-# Orders hold few items, so the thresholds are low; none comes near the cap of samples, which the SQL
-# does without.
-OPTS = Options(n1_threshold=2, slow_sql_ms=10.0)
+# Orders hold few items, so the thresholds are low. Issues count every sample of a request; the cap is
+# the matter of sql_template_stats and first_samples.
+OPTS = Options(n1_threshold=2, slow_sql_ms=10.0, samples_per_request=None)
 CAP = Options(n1_threshold=2, samples_per_request=3)
 
 TEMPLATED_SQL = rf"""
