@@ -18,6 +18,8 @@ from pyspark.sql.types import StringType
 # Lines in a window, and the sum that counts as a surge.
 LINES = 3
 SURGE = 86
+# Least text of an element, or around the articles, that can outweigh a class word or an article tag.
+FLOOR = 3 * SURGE
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -55,6 +57,13 @@ MARKED = {
     "comment", "comments", "disqus", "respond", "replies", "related", "recommended", "share", "sharing",
     "social", "widget", "disclaimer",
 }
+# Beside one of these a marked word tells how a page is laid out: "no-sidebar", "search-results-page".
+STATES = {
+    "no", "with", "without", "has", "page", "wrap", "wrapper", "container", "layout", "content", "results",
+    "open", "closed", "enabled", "disabled", "left", "right", "site", "body", "main",
+}
+# Within these, class words color code.
+CODE = {"pre", "code"}
 _MARK_WORD = re.compile(r"[a-z]+")
 ARTICLE = {"article", "main"}
 
@@ -64,7 +73,25 @@ class Line(NamedTuple):
     inside: bool  # in an article
 
 
-def _is_marked(name: str, attrs: str) -> bool:
+class Mark:
+    """A marked element: whether its words may tell the layout only, and the text found in it."""
+
+    def __init__(self, weak: bool) -> None:
+        self.weak, self.size, self.in_article = weak, 0, 0
+
+    def holds_the_page(self, total: int, in_articles: int) -> bool:
+        """Its own text outweighs the rest, so it is a wrapper and no side matter."""
+        rest = total - self.size
+        if self.size < FLOOR or self.size <= rest:
+            return False
+        if in_articles >= SURGE:
+            return 2 * self.in_article > in_articles
+        return self.weak or rest < SURGE
+
+
+def _marked(name: str, attrs: str) -> Mark | bool:
+    """True if hidden, a Mark if a class, id or role says that this is no main text, else False."""
+    found = []
     for key, *values in _ATTR.findall(attrs):
         key, value = key.lower(), next((v for v in values if v), "").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
@@ -74,19 +101,37 @@ def _is_marked(name: str, attrs: str) -> bool:
             continue
         if name in ("html", "body"):
             continue
-        if any(set(_MARK_WORD.findall(word)) & MARKED for word in value.split()):
-            return True
-    return False
+        found += [parts for word in value.split() if (parts := set(_MARK_WORD.findall(word))) & MARKED]
+    return Mark(all(parts & STATES for parts in found)) if found else False
 
 
 def lines_of(page: str) -> list[Line]:
-    """The page's blocks in order, with empty lines for what is left out and around articles."""
+    """The page's blocks in order, with empty lines for what is left out and around articles.
+
+    A marked element is left out unless it holds the page; how much text each has is measured first.
+    """
+    marks: dict[int, Mark] = {}
+    lines = _lines(page, marks, None)
+    if not marks:
+        return lines
+    total = sum(len(line.text) for line in lines)
+    in_articles = sum(len(line.text) for line in lines if line.inside)
+    return _lines(page, marks, {at for at, m in marks.items() if not m.holds_the_page(total, in_articles)})
+
+
+def _lines(page: str, marks: dict[int, Mark], skipped: set[int] | None) -> list[Line]:
+    """Lines without the elements that start at the ``skipped`` places. None: without hidden ones
+    only, while ``marks`` gets the marked ones by their place, and marked articles count as none."""
     lines: list[Line] = []
     parts: list[str] = []
     open_tags: list[str] = []
     # Depth of open_tags at which the outermost skipped element began.
     skip_from: int | None = None
     articles = 0
+    # Open marked elements by their depth, and how many of the open tags hold code.
+    open_marks: list[tuple[int, Mark]] = []
+    plain_articles: set[int] = set()
+    code = 0
     lowered = None
 
     def end_block(gap: int = 0) -> None:
@@ -94,9 +139,20 @@ def lines_of(page: str) -> list[Line]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 lines.append(Line(text, articles > 0))
+                for _, mark in open_marks:
+                    mark.size += len(text)
+                    mark.in_article += len(text) if articles else 0
             parts.clear()
         lines.extend([Line("", False)] * gap)
 
+    def closed(depth: int) -> None:
+        nonlocal code
+        code -= sum(t in CODE for t in open_tags[depth:])
+        while open_marks and open_marks[-1][0] >= depth:
+            open_marks.pop()
+        plain_articles.difference_update([d for d in plain_articles if d >= depth])
+        del open_tags[depth:]
+
     at = 0
     while (m := _TOKEN.search(page, at)) is not None:
         if skip_from is None and m.start() > at:
@@ -114,18 +170,18 @@ def lines_of(page: str) -> list[Line]:
                         end_block()
                     elif name in SPACES:
                         parts.append(" ")
-                    gone = sum(t in ARTICLE for t in open_tags[depth:])
+                    gone = sum(d not in plain_articles for d, t in enumerate(open_tags[depth:], depth) if t in ARTICLE)
                     if gone:
                         end_block(LINES)
                         articles -= gone
-                    del open_tags[depth:]
+                    closed(depth)
                 elif depth >= skip_from or depth < skip_from and name not in INLINE:
                     # An element that ends takes those along that it holds, skipped ones too.
                     if depth <= skip_from:
-                        articles -= sum(t in ARTICLE for t in open_tags[depth:skip_from])
+                        articles -= sum(d not in plain_articles for d in range(depth, skip_from) if open_tags[d] in ARTICLE)
                         skip_from = None
                         end_block(1)
-                    del open_tags[depth:]
+                    closed(depth)
             elif skip_from is None and name not in INLINE:
                 end_block()
             continue
@@ -144,13 +200,21 @@ def lines_of(page: str) -> list[Line]:
                 end_block()
         if name in VOID or m["attrs"].endswith("/"):
             continue
-        if skip_from is None and (name in SKIPPED or _is_marked(name, m["attrs"])):
+        mark = _marked(name, m["attrs"]) if skip_from is None and not code else False
+        if skip_from is None and (name in SKIPPED or mark is True or skipped is not None and m.start() in skipped):
             skip_from = len(open_tags)
         if name == "p" and open_tags and open_tags[-1] == "p" and skip_from != len(open_tags):
-            open_tags.pop()
+            closed(len(open_tags) - 1)
         if skip_from is None and name in ARTICLE:
             end_block(LINES)
-            articles += 1
+            if skipped is None and mark:
+                plain_articles.add(len(open_tags))
+            else:
+                articles += 1
+        if skipped is None and skip_from is None and mark:
+            marks[m.start()] = mark
+            open_marks.append((len(open_tags), mark))
+        code += name in CODE
         open_tags.append(name)
     if skip_from is None and at < len(page):
         parts.append(page[at:])
@@ -184,12 +248,17 @@ def between(sizes: list[int]) -> list[tuple[int, int]]:
 
 
 def main_text(page: str | None) -> str:
-    """The kept blocks, two line feeds between them. With an article in the page, lines outside of
-    it count as empty."""
+    """The kept blocks, two line feeds between them. Where articles hold the running text of the page,
+    lines outside of them count as empty."""
     lines = lines_of(page or "")
-    article = any(line.inside for line in lines)
-    texts = ["" if article and not line.inside else line.text for line in lines]
-    return "\n\n".join(t for a, b in between([len(t) for t in texts]) for t in texts[a:b] if t)
+    sizes = [len(line.text) for line in lines]
+    inside = sum(n for n, line in zip(sizes, lines) if line.inside)
+    if inside:
+        around = [0 if line.inside else n for n, line in zip(sizes, lines)]
+        running = sum(sum(around[a:b]) for a, b in between(around))
+        if running < FLOOR or running <= inside:
+            sizes = [n if line.inside else 0 for n, line in zip(sizes, lines)]
+    return "\n\n".join(line.text for a, b in between(sizes) for line, n in zip(lines[a:b], sizes[a:b]) if n)
 
 
 @F.arrow_udf(StringType())
