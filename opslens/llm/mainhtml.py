@@ -143,7 +143,9 @@ def _lines(page: str, marks: dict[int, Mark], skipped: set[int] | None) -> list[
                     mark.size += len(text)
                     mark.in_article += len(text) if articles else 0
             parts.clear()
-        lines.extend([Line("", False)] * gap)
+        # Elements that are left out one after the other are one gap.
+        if gap > 1 or gap and not (lines and not lines[-1].text):
+            lines.extend([Line("", False)] * gap)
 
     def closed(depth: int) -> None:
         nonlocal code
@@ -248,8 +250,8 @@ def between(sizes: list[int]) -> list[tuple[int, int]]:
 
 
 def main_text(page: str | None) -> str:
-    """The kept blocks, two line feeds between them. Where articles hold the running text of the page,
-    lines outside of them count as empty."""
+    """The kept blocks, two line feeds between them. Where articles hold the running text of the page
+    these are all of their lines and no other; else the runs between a surge and a dive."""
     lines = lines_of(page or "")
     sizes = [len(line.text) for line in lines]
     inside = sum(n for n, line in zip(sizes, lines) if line.inside)
@@ -257,8 +259,8 @@ def main_text(page: str | None) -> str:
         around = [0 if line.inside else n for n, line in zip(sizes, lines)]
         running = sum(sum(around[a:b]) for a, b in between(around))
         if running < FLOOR or running <= inside:
-            sizes = [n if line.inside else 0 for n, line in zip(sizes, lines)]
-    return "\n\n".join(line.text for a, b in between(sizes) for line, n in zip(lines[a:b], sizes[a:b]) if n)
+            return "\n\n".join(line.text for line in lines if line.inside)
+    return "\n\n".join(line.text for a, b in between(sizes) for line in lines[a:b] if line.text)
 
 
 @F.arrow_udf(StringType())
