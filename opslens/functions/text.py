@@ -70,14 +70,20 @@ def is_select(sql: Column | str) -> Column:
 
 
 def path_template(path: Column | str) -> Column:
-    """Request path without its query string, numeric segments replaced by ``{id}``."""
+    """``full_path_template`` as the stored column holds it."""
+    return clip(full_path_template(path), "path")
+
+
+def full_path_template(path: Column | str) -> Column:
+    """Request path without its query string, numeric segments replaced by ``{id}``, in full length:
+    endpoints are grouped by it and clipped afterwards."""
     c = as_col(path)
     bare = F.substring_index(c, "?", 1)
     # A path that is nothing but a query string is kept as it is.
     bare = F.when(bare == "", F.when(F.ltrim(c, F.lit("?")) == "", c).otherwise(
         F.substring_index(F.ltrim(c, F.lit("?")), "?", 1)
     )).otherwise(bare)
-    return F.substring(F.regexp_replace(bare, r"/\d+(?=/|\z)", "/{id}"), 1, CLIP["path"])
+    return F.regexp_replace(bare, r"/\d+(?=/|\z)", "/{id}")
 
 
 def request_url(path: Column | str, query: Column | str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import path_template
+from ..functions.text import clip, full_path_template
 from ..options import DEFAULTS, Options
 from .ordering import last_known
 
@@ -29,7 +29,7 @@ def tracked(samples: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
 def with_path_templates(samples: DataFrame) -> DataFrame:
     """http paths reduced to templates; commands and topics keep their names."""
     return samples.withColumn(
-        "path", F.when(F.col("type") == "http", path_template("path")).otherwise(F.col("path"))
+        "path", F.when(F.col("type") == "http", full_path_template("path")).otherwise(F.col("path"))
     )
 
 
@@ -89,8 +89,9 @@ def merge_endpoints(deltas: DataFrame) -> DataFrame:
 def endpoint_rows(merged: DataFrame) -> DataFrame:
     """The endpoint table as it is read."""
     ema = F.col("ema_part") + F.col("first_ms") * F.pow(F.lit(2.0), -F.col("requests"))
+    path = F.when(F.col("type") == "http", clip("path", "path")).otherwise(F.col("path")).alias("path")
     return merged.select(
-        "path", "type", ema.alias("ema_ms"), "min_ms", "max_ms", "requests", "last_seen", "last_status"
+        path, "type", ema.alias("ema_ms"), "min_ms", "max_ms", "requests", "last_seen", "last_status"
     )
 
 
