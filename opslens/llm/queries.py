@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import containment, ledger, linededup, mainhtml, mixing, pii, simhash, suffixdedup, urlfilter, warc
+from . import containment, exactdedup, ledger, linededup, mainhtml, mixing, pii, simhash, suffixdedup, urlfilter, warc
 from .common import table
 
 # Keys as the operator makes them. DuckDB's trim takes a set of characters.
@@ -209,6 +209,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(table(spark, sf_dir, "documents"))
 
 
+OP11_SQL = """
+WITH t AS (
+  SELECT doc_id, length(COALESCE(text, '')) AS n_chars,
+         translate(COALESCE(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') AS norm
+  FROM documents
+), k AS (
+  SELECT doc_id, norm, COUNT(*) OVER (PARTITION BY norm) AS group_size,
+         FIRST_VALUE(doc_id) OVER (PARTITION BY norm ORDER BY n_chars DESC, doc_id) AS keep_id
+  FROM t
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM k
+"""
+
+
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_url_filter": (op1_url_filter, OP1_SQL),
     "op2_suffix_dedup": (op2_suffix_dedup, None),
@@ -220,4 +238,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_main_text": (op8_main_text, None),
     "op9_mixing": (op9_mixing, None),
     "op10_line_dedup": (op10_line_dedup, OP10_SQL),
+    "op11_exact_dedup": (op11_exact_dedup, OP11_SQL),
 }
