@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import containment, exactdedup, ledger, linededup, mainhtml, mixing, pii, simhash, suffixdedup, urlfilter, warc
+from . import containment, convrepair, exactdedup, ledger, linededup, mainhtml, mixing, pii, simhash, suffixdedup, urlfilter, warc, whitening
 from .common import table
 
 # Keys as the operator makes them. DuckDB's trim takes a set of characters.
@@ -227,6 +227,99 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_copies(table(spark, sf_dir, "documents"))
 
 
+# The same plans found forwards: per state the least of cost and letters, as one text. A second walk
+# along the letters speaks the repaired turns.
+def _op12_sql() -> str:
+    def edit(v: str, cost: str, letter: str) -> str:
+        return f"(lpad((substr({v}, 1, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({v}, 10) || '{letter}')"
+
+    def to(state: int, keep: str, sources: tuple[int, ...]) -> str:
+        options = [edit(f"i{state}", "3", "D")]
+        for s in sources:
+            options.append(f"CASE WHEN NOT must AND initial = '{keep}' THEN {edit(f'i{s}', 'cut', 'K')} END")
+            if state != 1:
+                options.append(f"CASE WHEN NOT must THEN {edit(f'i{s}', '2 + cut', 'R')} END")
+        return f"least({', '.join(options)}) AS v{state}"
+
+    def inserted(v: str) -> str:
+        a2 = f"least(v2, {edit('v0', '2', 'I')}, {edit('v1', '2', 'I')}, {edit('v3', '2', 'I')})"
+        return f"SELECT *, v0 AS i0, v1 AS i1, {a2} AS i2, least(v3, {edit(a2, '2', 'I')}) AS i3 FROM {v}"
+
+    last = r"[.!?][\x20\x09-\x0D]*$"
+    bits = "list_reduce([v, 0, 0, 0, 0, 0, 0, 0, 0], lambda w, z: CASE WHEN w % 2 = 1 THEN xor(w >> 1, 3988292384) ELSE w >> 1 END)"
+    crc = f"list_reduce(list_concat([4294967295], list_transform(string_split(name, ''), lambda x: unicode(x)::BIGINT)), lambda c, b: {bits.replace('[v,', '[xor(c, b),')})"
+    return rf"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, COALESCE(role, ' ') AS role, COALESCE(text, ' ') AS text,
+         COALESCE(conv_id::VARCHAR, ' ') || ':' || COALESCE(turn::VARCHAR, ' ') AS name,
+         dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g
+  FROM conversations
+), harmed AS (
+  SELECT *, xor({crc}, 4294967295) % 20 AS harm FROM named
+), rows0 AS (
+  SELECT g, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+         CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         UNNEST(range(CASE WHEN harm = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM harmed WHERE harm <> 0
+), ranked AS (
+  SELECT g, turn, role, text, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i
+  FROM rows0
+), flagged AS (
+  SELECT *, left(role, 1) AS initial, NOT regexp_matches(text, '[^ 	-]') AS blank,
+         row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS again,
+         NOT regexp_matches(text, '{last}') AS open_end,
+         lag(left(role, 1)) OVER (PARTITION BY g ORDER BY i) AS before
+  FROM ranked
+), f AS (
+  SELECT *, blank OR again AS must, (open_end AND NOT (blank OR again))::BIGINT AS cut FROM flagged
+), counts AS (
+  SELECT g, COALESCE(MAX(turn) - MIN(turn) + 1 - COUNT(DISTINCT turn), 0) AS gaps, COUNT(*) FILTER (blank) AS blank,
+         COUNT(*) FILTER (again AND NOT blank) AS duplicate, SUM(cut)::BIGINT AS truncated,
+         COUNT(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal, MAX(i) AS n
+  FROM f GROUP BY g
+), walk AS (
+  SELECT g, 0::BIGINT AS i, '000000000' AS v0, NULL::VARCHAR AS v1, NULL::VARCHAR AS v2, NULL::VARCHAR AS v3 FROM counts
+  UNION ALL
+  SELECT g, i, {to(0, '', ())}, {to(1, 's', (0,))}, {to(2, 'u', (0, 1, 3))}, {to(3, 'a', (2,))}
+  FROM (SELECT w.*, f.initial, f.must, f.cut
+        FROM (SELECT g, i + 1 AS i, i0, i1, i2, i3 FROM ({inserted('walk')})) w JOIN f ON f.g = w.g AND f.i = w.i)
+), best AS (
+  SELECT g, least(i0, i3) AS v FROM ({inserted('(SELECT walk.* FROM walk JOIN counts ON counts.g = walk.g AND walk.i = counts.n)')})
+), said AS (
+  SELECT g, 0::BIGINT AS p, 1::BIGINT AS i, 0 AS state, substr(v, 10) AS audit, NULL::VARCHAR AS line FROM best
+  UNION ALL
+  SELECT s.g, s.p + 1, CASE WHEN letter = 'I' THEN s.i ELSE s.i + 1 END,
+         CASE WHEN letter = 'D' THEN state WHEN letter = 'K' THEN CASE initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END
+              WHEN state = 2 THEN 3 ELSE 2 END, audit,
+         CASE WHEN letter <> 'D' THEN CASE WHEN letter = 'K' THEN role WHEN state = 2 THEN 'assistant' ELSE 'user' END
+              || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END END
+  FROM (SELECT *, substr(audit, p + 1, 1) AS letter FROM said WHERE p < length(audit)) s
+  LEFT JOIN f ON f.g = s.g AND f.i = s.i
+), spoken AS (
+  SELECT g, string_agg(line, chr(10) ORDER BY p) AS repaired FROM said GROUP BY g
+)
+SELECT k.conv_id, COALESCE(gaps, 0) AS gaps, COALESCE(blank, 0) AS blank, COALESCE(duplicate, 0) AS duplicate,
+       COALESCE(truncated, 0) AS truncated, COALESCE(illegal, 0) AS illegal,
+       COALESCE(substr(v, 1, 9)::BIGINT, 0) AS cost, COALESCE(substr(v, 10), '') AS audit,
+       sha256(COALESCE(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT g, conv_id FROM named) k LEFT JOIN counts ON counts.g = k.g
+LEFT JOIN best ON best.g = k.g LEFT JOIN spoken ON spoken.g = k.g
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations")
+    report = convrepair.repair_report(convrepair.damaged(said), said.select(F.col("conv_id").alias("conv")))
+    return report.withColumnRenamed("conv", "conv_id")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_url_filter": (op1_url_filter, OP1_SQL),
     "op2_suffix_dedup": (op2_suffix_dedup, None),
@@ -239,4 +332,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op9_mixing": (op9_mixing, None),
     "op10_line_dedup": (op10_line_dedup, OP10_SQL),
     "op11_exact_dedup": (op11_exact_dedup, OP11_SQL),
+    "op12_conversation_repair": (op12_conversation_repair, OP12_SQL),
+    "op13_whitening": (op13_whitening, None),
 }
