@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from .json_tail import MASK, SENSITIVE_FRAGMENTS, mask_json
+from .masking import mask_json
 
 # Widest text stored per column.
 CLIP = {
@@ -148,35 +148,13 @@ def message_key(
     )
 
 
-_FRAGMENTS = "|".join(SENSITIVE_FRAGMENTS)
-# A name may be spelt with escapes, which only a parser reads.
-_HAS_FRAGMENT = rf"(?i)(?:{_FRAGMENTS})|\\u"
-# One object of plain names and values, as JSON has them, without a backslash in it.
-_FLAT_VALUE = r'(?:"[^"\\]*+"|true|false|null|-?[0-9]++(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?)'
-_FLAT_OBJECT = (
-    rf'\A\s*+\{{\s*+(?:"[^"\\]*+"\s*+:\s*+{_FLAT_VALUE}\s*+(?:,\s*+(?=")|(?=\}})))*+\}}\s*+\z'
-)
-_FLAT_PAIR = (
-    rf'(?i)("[^"\\]*(?:{_FRAGMENTS})[^"\\]*"\s*:\s*)'
-    r'(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^",{}\[\]\s]+)'
-)
-
-
 def mask_params(params_json: Column | str) -> Column:
-    """Parameters with the values of sensitive names masked, as JSON text.
+    """Parameters with the values of sensitive names masked, as JSON text; nothing else changes.
 
-    Texts without a sensitive name pass untouched and flat objects are masked in place; nested ones,
-    escaped names and what is not JSON go through a parser. Positional lists carry no names, so
-    nothing in them is masked; a text that can't be read is masked whole.
+    Positional lists carry no names, so nothing in them is masked; a text that holds a sensitive word
+    and can't be read is masked whole.
     """
-    c = as_col(params_json)
-    suspect = c.rlike(_HAS_FRAGMENT)
-    flat = c.rlike(_FLAT_OBJECT)
-    return (
-        F.when(~suspect, c)
-        .when(flat, F.regexp_replace(c, _FLAT_PAIR, rf'$1"{MASK}"'))
-        .otherwise(mask_json(F.when(suspect & ~flat, c)))
-    )
+    return mask_json(as_col(params_json))
 
 
 def params_fingerprint(masked_json: Column | str) -> Column:

@@ -206,12 +206,15 @@ CLIPPED_TEXTS = "SELECT c_custkey, " + ", ".join(
 
 
 def mask_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names with backslashes, escapes and capitals, lists of objects, and what is not JSON."""
+    """Names with backslashes, escapes and capitals, repeated names, deep and wide nesting, numbers and
+    characters that a parser may not keep, and what is not JSON."""
     c = table(spark, sf_dir, "customer")
     key = F.col("c_custkey").cast("string")
     shapes = [
         ('{"App\\\\Token":"', '"}'), ('{"to\\u006ben":"', '","n":1}'), ('[{"Api_Key":"', '"},{"k":[2]}]'),
         ('{"SECRET":"', '"'), ('{"q":"say \\"token\\": 5","authKey":"', '"}'), ('{"plain":"token ', '"}'),
+        ('{ "a" : 1e999, "auth" :[ "\\ud800", ', ' ], "b": "\\ud800"}'), ('{"token":', ',"x":1,"x":2,"token":{}}'),
+        ("[" * 70 + '{"k":{"secret":[{"a":[[', "]]}]}}" + "]" * 70), ('{"auth":' + "[" * 70, "]" * 70 + ',"z":[]}'),
     ]
     params = F.lit(None)
     for i, (before, after) in enumerate(shapes):
@@ -220,9 +223,11 @@ def mask_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MASK_ODD = r"""
-SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN '{"App\\Token":"***"}' WHEN 1 THEN '{"token":"***","n":1}'
+SELECT c_custkey, CASE c_custkey % 10 WHEN 0 THEN '{"App\\Token":"***"}' WHEN 1 THEN '{"to\u006ben":"***","n":1}'
   WHEN 2 THEN '[{"Api_Key":"***"},{"k":[2]}]' WHEN 3 THEN '"***"'
-  WHEN 4 THEN '{"q":"say \"token\": 5","authKey":"***"}' ELSE '{"plain":"token ' || c_custkey || '"}' END AS masked
+  WHEN 4 THEN '{"q":"say \"token\": 5","authKey":"***"}' WHEN 5 THEN '{"plain":"token ' || c_custkey || '"}'
+  WHEN 6 THEN '{ "a" : 1e999, "auth" :"***", "b": "\ud800"}' WHEN 7 THEN '{"token":"***","x":1,"x":2,"token":"***"}'
+  WHEN 8 THEN repeat('[', 70) || '{"k":{"secret":"***"}}' || repeat(']', 70) ELSE '{"auth":"***","z":[]}' END AS masked
 FROM customer"""
 
 
