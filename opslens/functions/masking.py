@@ -1,6 +1,6 @@
 """Masking of sensitive values in JSON text, as built-in functions.
 
-Texts nested up to SHALLOW levels are checked and masked by patterns. Others are cut into tokens, which
+Flat objects, and texts nested up to SHALLOW levels, are checked and masked by patterns. Others are cut into tokens, which
 one fold reads from left to right: it checks the grammar and notes where the values of sensitive names
 lie, at any depth; what lies between them is kept byte for byte. Open brackets are bits: LEVELS of them
 in a number, those below in an array of numbers.
@@ -35,13 +35,36 @@ TOKEN = rf"(?s){STRING}|[{{}}\[\]:,]|[ \t\n\r]++|[^{{}}\[\]:,\" \t\n\r]++|."
 PLAIN = r"\A(?:true|false|null|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?)\z"
 
 
-def _spelt(letter: str) -> str:
+def _words(spelt) -> str:
+    """Any of the fragments, each letter as ``spelt`` gives it; a first letter is looked at once."""
+    by_letter: dict[str, list[str]] = {}
+    for fragment in SENSITIVE_FRAGMENTS:
+        by_letter.setdefault(fragment[0], []).append("".join(map(spelt, fragment[1:])))
+    return "|".join(f"{spelt(first)}(?:{'|'.join(rest)})" for first, rest in by_letter.items())
+
+
+def _escaped(letter: str) -> str:
     """A letter as such or as an escape, in either case."""
     codes = "|".join(sorted({f"{ord(c):04x}" for c in (letter.lower(), letter.upper())}))
     return rf"(?:{letter}|\\u(?:{codes}))"
 
 
-FRAGMENT = "(?i)" + "|".join("".join(map(_spelt, fragment)) for fragment in SENSITIVE_FRAGMENTS)
+_FIRST = "".join(sorted({fragment[0] for fragment in SENSITIVE_FRAGMENTS}))
+_FIRST += _FIRST.upper()
+_WORD = rf"(?=[{_FIRST}])(?:{_words(str)})"
+FRAGMENT = f"(?i){_words(_escaped)}"
+# A word as such, or an escape that may spell one.
+SUSPECT = rf"(?i){_WORD}|\\u00"
+
+# One object of plain names and values without a backslash in it, and a pair to mask.
+_FLAT_VALUE = r'(?:"[^"\\\x00-\x1f]*+"|true|false|null|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+)'
+FLAT_OBJECT = (
+    r'\A\{[ \t\n\r]*+(?:"[^"\\\x00-\x1f]*+"[ \t\n\r]*+:[ \t\n\r]*+'
+    rf'{_FLAT_VALUE}[ \t\n\r]*+(?:,[ \t\n\r]*+(?=")|(?=\}})))*+\}}\z'
+)
+FLAT_SECRET = (
+    rf'(?i)("[^"]*(?:{"|".join(SENSITIVE_FRAGMENTS)})[^"]*"[ \t\n\r]*+:[ \t\n\r]*+)(?:"[^"]*+"|[^",{{}} \t\n\r]++)'
+)
 
 _SPACE = r"[ \t\n\r]*+"
 _SCALAR = r"(?:true|false|null|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+)"
@@ -55,13 +78,14 @@ for _ in range(SHALLOW):
 SHALLOW_JSON = rf"\A{_SPACE}{_VALUE}{_SPACE}\z"
 
 # In a text that is known to be JSON a string before a colon is a name, and a value ends where its
-# brackets do. Each match takes all up to the next sensitive name along.
+# brackets do. Names that may be spelt with escapes are left to the fold. Each match takes all up to the next sensitive name along.
 _ANY_STRING = r'"(?:[^"\\]++|\\.)*+"'
 _BLOCK = rf'[\[{{](?:[^\[\]{{}}"]++|{_ANY_STRING})*+[\]}}]'
 for _ in range(SHALLOW - 1):
     _BLOCK = rf'[\[{{](?:[^\[\]{{}}"]++|{_ANY_STRING}|{_BLOCK})*+[\]}}]'
-_FRAGMENTS = FRAGMENT.removeprefix("(?i)")
-_SECRET = rf'"(?:(?!{_FRAGMENTS})(?:[^"\\]|\\.))*+(?={_FRAGMENTS})(?:[^"\\]++|\\.)*+"{_SPACE}:{_SPACE}'
+_SECRET = (
+    rf'"(?:[^"\\{_FIRST}]++|(?!{_WORD})[^"\\]|\\.)*+(?={_WORD})(?:[^"\\]++|\\.)*+"{_SPACE}:{_SPACE}'
+)
 SHALLOW_SECRET = (
     rf'(?is)\G((?:[^"]++|(?!{_SECRET}){_ANY_STRING})*+{_SECRET})(?:{_ANY_STRING}|{_BLOCK}|[^,\[\]{{}}" \t\n\r]++)'
 )
@@ -144,9 +168,17 @@ def mask_json(text: Column) -> Column:
     A text without a sensitive word passes as it is. One that has such a word and is no JSON could hide
     a secret from the reading: it is masked whole. Null stays null.
     """
-    suspect, shallow = text.rlike(FRAGMENT), text.rlike(SHALLOW_JSON)
-    by_pattern = F.regexp_replace(text, SHALLOW_SECRET, rf'$1"{MASK}"')
-    return F.when(~suspect, text).when(shallow, by_pattern).otherwise(fold_json(F.when(suspect & ~shallow, text)))
+    masked = rf'$1"{MASK}"'
+    return (
+        F.when(~text.rlike(SUSPECT), text)
+        .when(text.rlike(FLAT_OBJECT), F.regexp_replace(text, FLAT_SECRET, masked))
+        .when(
+            ~text.contains("\\u00") & text.rlike(SHALLOW_JSON),
+            F.regexp_replace(text, SHALLOW_SECRET, masked),
+        )
+        .when(text.rlike(FRAGMENT), fold_json(text))
+        .otherwise(text)
+    )
 
 
 def fold_json(text: Column) -> Column:

@@ -22,11 +22,11 @@ CLIP = {
 
 # SQL template rules, applied in this order: line comments, block comments, string and
 # number literals, lists, spaces. The string literal is written possessively so that one of any length
-# is matched without recursion.
+# is matched without recursion; what a literal starts with is looked at first, for speed.
 SQL_TEMPLATE_RULES = (
-    (r"--[^\n]*", ""),
+    (r"--[^\n]*+", ""),
     (r"(?s)/\*.*?\*/", ""),
-    (r"(?d)'[^'\\]*+(?:\\.[^'\\]*+)*+'|\b\d+(?:\.\d+)?\b", "?"),
+    (r"(?d)(?=['0-9])(?:'[^'\\]*+(?:\\.[^'\\]*+)*+'|\b\d+(?:\.\d+)?\b)", "?"),
     (r"(?i)IN\s*\(\s*\?(?:\s*,\s*\?)*+\s*\)", "IN (?)"),
     (r"\s+", " "),
 )
@@ -160,7 +160,8 @@ def mask_params(params_json: Column | str) -> Column:
 def params_fingerprint(masked_json: Column | str) -> Column:
     """Hash of the parameters; white space between values does not count, the order of names does."""
     c = F.coalesce(as_col(masked_json), F.lit("null"))
-    return F.md5(F.regexp_replace(c, r'("(?:[^"\\]++|\\.)*+")|\s+', "$1"))
+    blank = F.regexp_replace(c, r'("(?:[^"\\]++|\\.)*+")|\s+', "$1")
+    return F.md5(F.when(c.rlike(r"\s"), blank).otherwise(c))
 
 
 def number_text(value: Column | str) -> Column:
