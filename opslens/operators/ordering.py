@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -18,6 +19,13 @@ def last_known(value: str, order: Column) -> Column:
     return F.max_by(value, F.when(F.col(value).isNotNull(), order))
 
 
+def first_largest(value: str, order: str) -> Column:
+    """One number that is largest for the largest ``value`` (a bigint), of several for the one that comes
+    first by ``order`` (a bigint). Of fixed width, so an aggregate over it needs no sorting."""
+    wide = F.col(value).cast("decimal(38,0)") * F.lit(Decimal(2**64))
+    return wide - F.coalesce(order, F.lit(2**63 - 1))
+
+
 def top_per_group(
     df: DataFrame,
     keys: Sequence[str],

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import clip, is_select, mask_params, number_text, params_fingerprint, sql_template
 from ..options import DEFAULTS, Options
-from .ordering import first_per_request, last_known, top_per_group
+from .ordering import first_largest, first_per_request, last_known, top_per_group
 
 # A slow SELECT is explained at most this often per request.
 EXPLAINS_PER_REQUEST = 3
@@ -39,21 +39,17 @@ def half_up_mean(tenths: str, count: str) -> Column:
     return F.floor((F.col(tenths) * 2 + F.col(count)) / (F.col(count) * 2)) / 10
 
 
-def template_stats(samples: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
-    """Statistics per request and template over the request's first samples.
-
-    Caller and parameters are those of the first execution that took longest.
-    """
+def template_counts(samples: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
+    """Statistics per request and template over the request's first samples, all of fixed width, so that
+    they are hashed and never sorted. ``worst_seq`` tells the first execution that took longest."""
     kept = templated(first_per_request(samples, opts.samples_per_request))
-    longest = F.struct(F.negative("ms"), F.col("seq"))
     per_set = kept.groupBy("request_id", "template", "fingerprint").agg(
         F.count(F.lit(1)).alias("repeats"),
         F.min("ms").alias("min_ms"),
         F.max("ms").alias("max_ms"),
         F.sum("tenths").alias("tenths"),
-        F.min(longest).alias("rank"),
-        F.min_by(F.struct("caller", "params_json"), longest).alias("worst"),
-        F.min("url").alias("url"),
+        F.max_by("seq", first_largest("tenths", "seq")).alias("worst_seq"),
+        F.max(first_largest("tenths", "seq")).alias("worst"),
         F.min("seq").alias("first_seq"),
         F.max("ts").alias("last_seen"),
     )
@@ -66,8 +62,7 @@ def template_stats(samples: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
             F.min("min_ms").alias("min_ms"),
             F.max("max_ms").alias("max_ms"),
             F.sum("tenths").alias("tenths"),
-            F.min_by("worst", "rank").alias("worst"),
-            F.min("url").alias("url"),
+            F.max_by("worst_seq", "worst").alias("worst_seq"),
             F.min("first_seq").alias("first_seq"),
             F.max("last_seen").alias("last_seen"),
             # Part of the result, so that a filter on it does not reach the raw samples.
@@ -76,7 +71,6 @@ def template_stats(samples: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
         .select(
             "request_id",
             "template",
-            "url",
             "executions",
             "unique_params",
             "same_params_max",
@@ -84,8 +78,7 @@ def template_stats(samples: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
             "max_ms",
             (F.col("tenths") / 10).alias("total_ms"),
             half_up_mean("tenths", "executions").alias("avg_ms"),
-            "worst.caller",
-            "worst.params_json",
+            "worst_seq",
             "first_seq",
             "last_seen",
             "is_select",
@@ -93,6 +86,27 @@ def template_stats(samples: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
     )
 
 
+def with_worst(counts: DataFrame, samples: DataFrame) -> DataFrame:
+    """``template_counts`` with url, caller and masked parameters of the execution that took longest.
+
+    These are read for the winners only, by their number, which is unique within a request.
+    """
+    said = samples.select(
+        F.col("request_id").alias("_request"), F.col("seq").alias("_seq"), "url", "caller", "params_json"
+    )
+    same = F.col("request_id").eqNullSafe(F.col("_request")) & (F.col("worst_seq") == F.col("_seq"))
+    found = counts.join(said, same).drop("_request", "_seq", "worst_seq")
+    return found.withColumn("params_json", mask_params("params_json"))
+
+
+def template_stats(samples: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
+    """Statistics per request and template over the request's first samples.
+
+    Caller, url and parameters are those of the first execution that took longest.
+    """
+    return with_worst(template_counts(samples, opts), samples)
+
+
 def analysis() -> Column:
     """Execution statistics of an issue as one struct."""
     return F.struct(
@@ -163,37 +177,39 @@ def advice() -> Column:
     return F.concat_ws(" ", F.when(F.col("is_n1"), n1), F.when(F.col("is_slow"), slow))
 
 
-def find_issues(stats: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
+def flagged(stats: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
     """Templates run too often (more than the threshold) or too slowly in one request."""
     is_n1 = F.col("executions") > opts.n1_threshold
     is_slow = F.col("max_ms") > opts.slow_sql_ms
+    return stats.where(is_n1 | is_slow).withColumns({"is_n1": is_n1, "is_slow": is_slow})
+
+
+def find_issues(stats: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
+    """Issue rows of the ``template_stats`` that are ``flagged``."""
     worst_slow = F.when(F.col("is_n1"), F.col("total_ms")).otherwise(F.col("max_ms"))
-    return (
-        stats.where(is_n1 | is_slow)
-        .withColumns({"is_n1": is_n1, "is_slow": is_slow})
-        .select(
-            "request_id",
-            "first_seq",
-            "template",
-            "is_n1",
-            "is_slow",
-            "executions",
-            F.when(F.col("is_n1"), F.col("executions")).alias("worst_n1"),
-            F.when(F.col("is_slow"), worst_slow).alias("worst_slow_ms"),
-            "caller",
-            "params_json",
-            "url",
-            reason_code().alias("reason"),
-            advice().alias("suggestion"),
-            analysis().alias("analysis"),
-            "last_seen",
-            "is_select",
-        )
+    return flagged(stats, opts).select(
+        "request_id",
+        "first_seq",
+        "template",
+        "is_n1",
+        "is_slow",
+        "executions",
+        F.when(F.col("is_n1"), F.col("executions")).alias("worst_n1"),
+        F.when(F.col("is_slow"), worst_slow).alias("worst_slow_ms"),
+        "caller",
+        "params_json",
+        "url",
+        reason_code().alias("reason"),
+        advice().alias("suggestion"),
+        analysis().alias("analysis"),
+        "last_seen",
+        "is_select",
     )
 
 
 def issues_of(samples: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
-    return find_issues(template_stats(samples, opts), opts)
+    counts = flagged(template_counts(samples, opts), opts).drop("is_n1", "is_slow")
+    return find_issues(with_worst(counts, samples), opts)
 
 
 def explain_candidates(issues: DataFrame, n: int | None = EXPLAINS_PER_REQUEST) -> DataFrame:
