@@ -2,7 +2,9 @@
 
 Markup becomes lines: one per block of text, empty ones where something was taken out and around the
 article. The sum of text lengths over a sliding window of lines surges where running text begins and
-dives to zero where it ends; what lies between is kept, whatever the length of its single lines.
+dives to zero where it ends; what lies between is kept, whatever the length of its single lines. Tags
+and class words weigh the lines: what they tell to be no article is an empty line, and a line of an
+article that holds the page's text is a surge by itself.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ _TOKEN = re.compile(
     r"|<[a-zA-Z!?/][^>]*(?:>|\Z)",
     re.S,
 )
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+# A whole attribute: its name, then its value if it has one.
+_ATTR = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_READ = {"class", "id", "role"}
 
 # Their content is text to the parser, up to the closing tag.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "title", "xmp", "noembed", "noframes"}
@@ -62,6 +66,13 @@ STATES = {
     "no", "with", "without", "has", "page", "wrap", "wrapper", "container", "layout", "content", "results",
     "open", "closed", "enabled", "disabled", "left", "right", "site", "body", "main",
 }
+# On one of these only the first words tell: a paragraph may be an advert or a notice, but it is no menu.
+TEXTUAL = {"p", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "dt", "td", "th", "figure", "figcaption"}
+NO_TEXT = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo",
+    "banner", "cookie", "cookies", "consent", "notice", "notices", "alert", "popup", "modal", "overlay",
+    "newsletter", "subscribe", "signup", "comment", "comments", "disclaimer",
+}
 # Within these, class words color code.
 CODE = {"pre", "code"}
 _MARK_WORD = re.compile(r"[a-z]+")
@@ -91,17 +102,19 @@ class Mark:
 
 def _marked(name: str, attrs: str) -> Mark | bool:
     """True if hidden, a Mark if a class, id or role says that this is no main text, else False."""
-    found = []
+    found, words = [], NO_TEXT if name in TEXTUAL else MARKED
     for key, *values in _ATTR.findall(attrs):
         key, value = key.lower(), next((v for v in values if v), "").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
             return True
+        if key not in _READ:
+            continue
         # The page itself and its article may bear any class, such as "has-sidebar".
         if name in ARTICLE and not {"comment", "comments"} & set(_MARK_WORD.findall(value)):
             continue
         if name in ("html", "body"):
             continue
-        found += [parts for word in value.split() if (parts := set(_MARK_WORD.findall(word))) & MARKED]
+        found += [parts for word in value.split() if (parts := set(_MARK_WORD.findall(word))) & words]
     return Mark(all(parts & STATES for parts in found)) if found else False
 
 
@@ -125,6 +138,8 @@ def _lines(page: str, marks: dict[int, Mark], skipped: set[int] | None) -> list[
     lines: list[Line] = []
     parts: list[str] = []
     open_tags: list[str] = []
+    # Where each tag's elements are open, so that an end tag finds its own at once.
+    places: dict[str, list[int]] = {}
     # Depth of open_tags at which the outermost skipped element began.
     skip_from: int | None = None
     articles = 0
@@ -139,9 +154,9 @@ def _lines(page: str, marks: dict[int, Mark], skipped: set[int] | None) -> list[
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 lines.append(Line(text, articles > 0))
-                for _, mark in open_marks:
-                    mark.size += len(text)
-                    mark.in_article += len(text) if articles else 0
+                if open_marks:  # the marks around it get it when this one ends
+                    open_marks[-1][1].size += len(text)
+                    open_marks[-1][1].in_article += len(text) if articles else 0
             parts.clear()
         # Elements that are left out one after the other are one gap.
         if gap > 1 or gap and not (lines and not lines[-1].text):
@@ -149,11 +164,16 @@ def _lines(page: str, marks: dict[int, Mark], skipped: set[int] | None) -> list[
 
     def closed(depth: int) -> None:
         nonlocal code
-        code -= sum(t in CODE for t in open_tags[depth:])
         while open_marks and open_marks[-1][0] >= depth:
-            open_marks.pop()
-        plain_articles.difference_update([d for d in plain_articles if d >= depth])
-        del open_tags[depth:]
+            _, mark = open_marks.pop()
+            if open_marks:
+                open_marks[-1][1].size += mark.size
+                open_marks[-1][1].in_article += mark.in_article
+        while len(open_tags) > depth:
+            tag = open_tags.pop()
+            places[tag].pop()
+            plain_articles.discard(len(open_tags))
+            code -= tag in CODE
 
     at = 0
     while (m := _TOKEN.search(page, at)) is not None:
@@ -165,8 +185,8 @@ def _lines(page: str, marks: dict[int, Mark], skipped: set[int] | None) -> list[
             continue
         name = name.lower()
         if m["close"]:
-            if name in open_tags:
-                depth = len(open_tags) - 1 - open_tags[::-1].index(name)
+            if places.get(name):
+                depth = places[name][-1]
                 if skip_from is None:
                     if name not in INLINE and name not in SPACES:
                         end_block()
@@ -217,10 +237,12 @@ def _lines(page: str, marks: dict[int, Mark], skipped: set[int] | None) -> list[
             marks[m.start()] = mark
             open_marks.append((len(open_tags), mark))
         code += name in CODE
+        places.setdefault(name, []).append(len(open_tags))
         open_tags.append(name)
     if skip_from is None and at < len(page):
         parts.append(page[at:])
     end_block()
+    closed(0)
     return lines
 
 
@@ -249,18 +271,25 @@ def between(sizes: list[int]) -> list[tuple[int, int]]:
     return runs
 
 
-def main_text(page: str | None) -> str:
-    """The kept blocks, two line feeds between them. Where articles hold the running text of the page
-    these are all of their lines and no other; else the runs between a surge and a dive."""
-    lines = lines_of(page or "")
+def weights(lines: list[Line]) -> list[int]:
+    """What each line counts in a window: its length. Where articles hold the running text of the page
+    their lines count as much as a surge besides, and all others as empty."""
     sizes = [len(line.text) for line in lines]
     inside = sum(n for n, line in zip(sizes, lines) if line.inside)
-    if inside:
-        around = [0 if line.inside else n for n, line in zip(sizes, lines)]
-        running = sum(sum(around[a:b]) for a, b in between(around))
-        if running < FLOOR or running <= inside:
-            return "\n\n".join(line.text for line in lines if line.inside)
-    return "\n\n".join(line.text for a, b in between(sizes) for line in lines[a:b] if line.text)
+    if not inside:
+        return sizes
+    around = [0 if line.inside else n for n, line in zip(sizes, lines)]
+    running = sum(sum(around[a:b]) for a, b in between(around))
+    if running >= FLOOR and running > inside:
+        return sizes
+    return [n + SURGE if line.inside and n else 0 for n, line in zip(sizes, lines)]
+
+
+def main_text(page: str | None) -> str:
+    """The blocks between a surge and a dive of the window sums, two line feeds between them."""
+    lines = lines_of(page or "")
+    counts = weights(lines)
+    return "\n\n".join(lines[i].text for a, b in between(counts) for i in range(a, b) if counts[i])
 
 
 @F.arrow_udf(StringType())

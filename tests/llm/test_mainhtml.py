@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from opslens.llm import mainhtml
@@ -51,3 +54,66 @@ def test_query_form(spark):
     for r in found.collect():
         assert r.text == mainhtml.main_text(CASES[r.page_id][0]) and r.n_chars == len(r.text)
     assert mainhtml.main_texts(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
+
+
+def plain_runs(sizes):
+    """Stretches that no LINES empty lines part, trimmed, with a window as large as the need."""
+    n = mainhtml.LINES
+    windows = [sum(sizes[i : i + n]) for i in range(len(sizes))]
+    need = min(mainhtml.SURGE, max(windows, default=0))
+    full = [i for i, size in enumerate(sizes) if size]
+    runs = []
+    for i in full:
+        if runs and i - runs[-1][1] < n + 1:
+            runs[-1][1] = i
+        else:
+            runs.append([i, i])
+    return [(a, b + 1) for a, b in runs if max(sum(sizes[i : min(i + n, b + 1)]) for i in range(a, b + 1)) >= need]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_runs_like_plain_ones(seed):
+    rng = random.Random(seed)
+    for _ in range(500):
+        sizes = [rng.choice([0, 0, 0, 0, 5, 20, 40, 90, 300][: rng.randrange(5, 10)]) for _ in range(rng.randrange(30))]
+        assert mainhtml.between(sizes) == plain_runs(sizes), sizes
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_main_text_is_what_lies_in_runs(seed):
+    """Pages of plain blocks: the text is that of the lines in plain runs."""
+    rng = random.Random(seed)
+    for _ in range(100):
+        blocks = [rng.choice(["<nav>no</nav>", "<p>short</p>", f"<p>{LONG}</p>", "<div class=ad>no</div><hr>", "<p>of middle length, some words</p>"]) for _ in range(12)]
+        lines = mainhtml.lines_of("".join(blocks))
+        runs = plain_runs([len(line.text) for line in lines])
+        kept = [line.text for a, b in runs for line in lines[a:b] if line.text]
+        assert mainhtml.main_text("".join(blocks)) == "\n\n".join(kept)
+
+
+@pytest.mark.parametrize("attribute", [
+    'style="overflow:hidden"', 'title="the hidden gem"', "data-hidden", 'data-role="banner"', 'title="class=ad"',
+    "data-class='ad'", 'alt="a" data-id=menu', "x='hidden' y",
+])
+def test_words_in_other_attributes_mean_nothing(attribute):
+    body = "".join(f"<p>{LONG} {i}</p>" for i in range(6))
+    text = "\n\n".join(f"{LONG} {i}" for i in range(6))
+    assert mainhtml.main_text(f"<div {attribute}>{body}</div><p>tail</p>") == f"{text}\n\ntail"
+    assert mainhtml.main_text(f"<article><p {attribute}>{LONG}</p><p>x</p></article>") == f"{LONG}\n\nx"
+
+
+def test_paragraphs_are_no_page_parts():
+    assert mainhtml.main_text(f"<article><p class='related'>{LONG}</p><p class=search-term>b</p><p class=notice>no</p></article>") == f"{LONG}\n\nb"
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 200_000 + "x" + "</div>" * 200_000,
+    "<div>" * 100_000 + "</b>" * 100_000 + "x",
+    "<div class=ad>a" * 50_000 + "</div>" * 50_000,
+    "<article>a" * 50_000 + "</article>" * 50_000,
+    "<nav>" * 100_000 + "</nav>" * 100_000 + "x",
+])
+def test_time_is_linear_in_depth(page):
+    started = time.perf_counter()
+    mainhtml.main_text(page)
+    assert time.perf_counter() - started < 6
