@@ -106,9 +106,10 @@ def fill_defaults(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     return df
 
 
-def upgrade_log_groups(df: DataFrame) -> DataFrame:
-    """Rows stored before grouping existed count once and were first seen when last seen."""
+def upgrade_log_groups(df: DataFrame, *others: str) -> DataFrame:
+    """Rows stored before grouping existed count once and were first seen when last seen. ``others`` are
+    further columns to keep."""
     df = fill_defaults(df, {"occurrences": F.lit(1).cast(LONG), "first_seen": F.col("last_seen")})
     if "message_key" not in df.columns:
         df = df.withColumn("message_key", F.lit(None).cast(STRING))
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LOG_GROUP.fields])
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LOG_GROUP.fields], *others)

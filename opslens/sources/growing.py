@@ -7,6 +7,7 @@ whose checkpoint is the map of file to byte position.
 Options
     path            folder, file or ``folder/pattern``; looked up again for every micro-batch
     offsets         batch: JSON map of file name to first byte (missing: 0)
+    ranges          batch: JSON map of file name to [first, end): lines that start within, of these files only
     tailBytes       batch: only this many bytes at the end of every file
     startingOffsets stream: ``earliest`` (default) or ``latest``
     maxBytesPerFile stream: most bytes of a file taken per micro-batch
@@ -15,13 +16,14 @@ Options
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from fnmatch import fnmatch
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
@@ -36,6 +38,8 @@ from ..schemas import LOG_LINE
 
 SPLIT_BYTES = 32 * 1024 * 1024
 PROBE_BYTES = 64 * 1024
+# A log line starts with its time, so that two files hardly begin alike.
+BEGINNING_BYTES = 256
 # End of a file that is searched unless all of it is asked for.
 WINDOW_BYTES = 50 * 1024 * 1024
 
@@ -65,8 +69,11 @@ def uri(path: str) -> str:
     return path if "://" in path else f"file://{path}"
 
 
-def list_files(path: str) -> list[LogFile]:
-    """The files a path, folder or pattern stands for right now."""
+def list_files(path: str, rotated: bool = False) -> list[LogFile]:
+    """The files a path, folder or pattern stands for right now. ``rotated``: the others of the folder
+    whose name goes on behind the pattern, as that of a log put aside does.
+
+    A file is known by its inode where there is one, else by its beginning (see ``beginning``)."""
     from pyarrow import fs
 
     filesystem, root = fs.FileSystem.from_uri(uri(path))
@@ -75,14 +82,39 @@ def list_files(path: str) -> list[LogFile]:
     else:
         folder, _, pattern = root.rpartition("/")
     found = filesystem.get_file_info(fs.FileSelector(folder, allow_not_found=True))
-    files = [f for f in found if f.type == fs.FileType.File and fnmatch(f.base_name, pattern)]
-    local = isinstance(filesystem, fs.LocalFileSystem)
+    names = (lambda n: fnmatch(n, f"{pattern}?*") and not fnmatch(n, pattern)) if rotated else (lambda n: fnmatch(n, pattern))
+    files = [f for f in found if f.type == fs.FileType.File and names(f.base_name)]
+    numbered = has_inodes(filesystem)
     return [
-        LogFile(f.path, f.path, f.size, str(os.stat(f.path).st_ino) if local else "")
+        LogFile(f.path, f.path, f.size, str(os.stat(f.path).st_ino) if numbered else beginning(path, f.path, f.size))
         for f in sorted(files, key=lambda f: f.path)
     ]
 
 
+def has_inodes(filesystem) -> bool:
+    from pyarrow import fs
+
+    return isinstance(filesystem, fs.LocalFileSystem)
+
+
+def beginning(base: str, path: str, size: int) -> str:
+    """A file as known by its beginning: ``first:<n>:<hash of the first n bytes>``, n at most
+    BEGINNING_BYTES; an empty file has none."""
+    count = min(size, BEGINNING_BYTES)
+    with _open(base, path) as handle:
+        data = handle.read(count)
+    return f"first:{len(data)}:{hashlib.md5(data).hexdigest()}" if data else ""
+
+
+def same_file(base: str, known: str, file: LogFile) -> bool:
+    """Whether a file is the one that was known: it may have grown since, also beyond the bytes its
+    beginning was taken from."""
+    if not known.startswith("first:"):
+        return known == file.identity or known == "" and file.identity.startswith("first:")
+    count = int(known.split(":")[1])
+    return file.size >= count and (known == file.identity or known == beginning(base, file.path, count))
+
+
 def _open(base: str, path: str):
     from pyarrow import fs
 
@@ -161,9 +193,14 @@ class OffsetReader(DataSourceReader):
         self.offsets = json.loads(options.get("offsets", "{}"))
         self.tail = int(options.get("tailbytes", 0))
         self.split = int(options.get("splitbytes", SPLIT_BYTES))
+        self.ranges = json.loads(options.get("ranges", "null"))
 
     def partitions(self) -> list[InputPartition]:
         parts = []
+        if self.ranges is not None:
+            for path, (low, high) in sorted(self.ranges.items()):
+                parts += [replace(r, first=r.start == 0) for r in ranges(path, path, low, high, self.split)]
+            return parts or [ByteRange("", "", 0, 0, True)]
         for file in list_files(self.path):
             start = int(self.offsets.get(file.name, 0))
             if self.tail:
@@ -195,13 +232,24 @@ class GrowingReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         self.seen = {**end, **self.seen}
         parts = []
+        stayed = {p for p, (known, _) in start.items() if p in end and self._is(p, known, end[p][0])}
+        moved = [entry for p, entry in start.items() if p not in stayed and entry[0]]
         for path, (identity, stop) in sorted(end.items()):
-            known_identity, known = start.get(path, [identity, 0])
-            # A new file under the old name, or a file cut short, is read from its beginning.
-            begin = known if known_identity == identity and known <= stop else 0
+            # Positions go with the file, whatever its name is by now. A new file under the old name, or
+            # a file cut short, is read from its beginning.
+            before = [start[path]] if path in stayed else moved
+            known = next((at for known, at in before if self._is(path, known, identity)), 0)
+            begin = known if known <= stop else 0
             parts += ranges(path, path, begin, stop, self.split)
         return parts
 
+    def _is(self, path: str, known: str, identity: str) -> bool:
+        """Whether two identities are of the same file, which may have grown between them."""
+        if known == identity or not (known.startswith("first:") and identity.startswith("first:")):
+            return known == identity
+        count = int(known.split(":")[1])
+        return count < int(identity.split(":")[1]) and known == beginning(self.path, path, count)
+
     def read(self, partition: ByteRange) -> Iterator:
         yield from read_range(self.path, partition)
 
@@ -212,13 +260,23 @@ class GrowingReader(DataSourceStreamReader):
         pass
 
     def _ends(self, most: int | None) -> dict[str, list]:
-        """Byte behind the last complete line of every file; a line still being written waits."""
-        ends = {}
+        """Byte behind the last complete line of every file; a line still being written waits. A file
+        that was put aside under another name is read to its end, last line included."""
+        ends, gone = {}, []
         for file in list_files(self.path):
             identity, known = self.seen.get(file.path, [file.identity, 0])
-            if identity != file.identity or file.size < known:
+            if not same_file(self.path, identity, file):
+                gone.append((identity, known))
+                identity, known = file.identity, 0
+            elif file.size < known:
                 known = 0
-            ends[file.path] = [file.identity, self._complete(file, known, most)]
+            ends[file.path] = [identity or file.identity, self._complete(file, known, most)]
+        gone += [(i, known) for path, (i, known) in self.seen.items() if path not in ends]
+        if any(identity for identity, _ in gone):
+            for file in list_files(self.path, rotated=True):
+                for identity, known in gone:
+                    if identity and known <= file.size and same_file(self.path, identity, file):
+                        ends[file.path] = [identity, file.size]
         return ends
 
     def _complete(self, file: LogFile, known: int, most: int | None) -> int:
@@ -283,3 +341,36 @@ def grep_window(
 ) -> DataFrame:
     """Last matching lines of every file within its last bytes (None: in all of it)."""
     return grep(read_window(spark, path, tail_bytes), predicate, limit)
+
+
+def read_ranges(spark: SparkSession, path: str, parts: dict[str, tuple[int, int]]) -> DataFrame:
+    """The lines that start within a byte range of each file."""
+    register_source(spark)
+    return spark.read.format("growing_text").option("ranges", json.dumps(parts)).load(path)
+
+
+def grep_newest(
+    spark: SparkSession, path: str, predicate: Column, limit: int = DEFAULTS.grep_limit_per_file,
+    block: int = PROBE_BYTES, most: int = WINDOW_BYTES,
+) -> DataFrame:
+    """Last ``limit`` matching lines of every file, exact, read from the end backwards.
+
+    Each round reads one more block of every file that has too few matches yet, four times as long as
+    the one before (at most ``most`` bytes), and stops at ``limit`` matches or at the file's beginning:
+    what is read depends on how far back the matches lie, not on the size of the file. The driver sees
+    one count per file and round; a round keeps at most ``limit`` lines per file.
+    """
+    missing = {f.name: limit for f in list_files(path)}
+    upto = {f.name: f.size for f in list_files(path)}
+    found = read_ranges(spark, path, {}).where(predicate)
+    while missing:
+        parts = {name: (max(0, upto[name] - block), upto[name]) for name in missing}
+        hits = grep(read_ranges(spark, path, parts).where(predicate), F.lit(True), limit).persist()
+        counts = dict(map(tuple, hits.groupBy("file").count().collect()))
+        found = found.unionByName(hits)
+        upto |= {name: low for name, (low, _) in parts.items()}
+        left = {name: want - counts.get(name, 0) for name, want in missing.items()}
+        missing = {name: want for name, want in left.items() if want > 0 and upto[name] > 0}
+        block = min(4 * block, most)
+    # A file's blocks are parts of one line order: positions are bytes.
+    return grep(found.withColumn("block", F.lit(0).cast("bigint")), F.lit(True), limit)

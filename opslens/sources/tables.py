@@ -37,12 +37,13 @@ class MergedTable:
     """A table whose rows are the merge of every batch written to it.
 
     ``merge`` takes rows with a ``version`` column, which grows with the time of writing, and returns
-    merged rows with one; it must give the same result however the batches are grouped.
+    merged rows with one; it must give the same result however the batches are grouped. ``upgrade``
+    fills what rows stored under an older schema lack, whenever rows are read.
     """
 
-    def __init__(self, path: str, schema: StructType, merge: Merge):
+    def __init__(self, path: str, schema: StructType, merge: Merge, upgrade: Merge | None = None):
         self.path = path.rstrip("/")
-        self.merge = merge
+        self.merge = merge if upgrade is None else lambda rows: merge(upgrade(rows))
         self.schema = StructType([f for f in schema.fields if f.name != "version"])
 
     def content(self, spark: SparkSession) -> Content:
@@ -153,11 +154,3 @@ def complete_folders(spark: SparkSession, path: str, key: str) -> list[str]:
 def remove(spark: SparkSession, path: str) -> None:
     place, system = _path(spark, path)
     system.delete(place, True)
-
-
-def append_rows(rows: DataFrame, path: str, batch: int, date_of: str = "last_seen") -> None:
-    """Append-only table: one folder per stream and batch, split by date and replaced on replay."""
-    writer = stream_id(rows.sparkSession)
-    rows.withColumn("day", F.to_date(date_of)).write.mode("overwrite").partitionBy("day").parquet(
-        f"{path.rstrip('/')}/writer={writer}/batch={batch}"
-    )

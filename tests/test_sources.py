@@ -11,6 +11,7 @@ from opslens.operators.ordering import carry_time, last_lines
 from opslens.operators.search import grep, line_matches
 from opslens.schemas import struct, LONG, STRING
 from opslens.sources.files import catalogue, read_lines, stored_bytes
+from opslens.sources import growing
 from opslens.sources.growing import grep_window, next_offsets, read_from, read_window, register_source
 from opslens.sources.tables import MergedTable
 
@@ -207,3 +208,41 @@ def test_unfinished_writes_are_ignored(spark, tmp_path):
     table.write_batch(spark.createDataFrame([("a", 1)], "key string, n bigint"), 0)
     os.makedirs(tmp_path / "t" / "rows" / "writer=direct" / "batch=1")
     assert table.content(spark).batches == (("direct", 0),)
+
+
+def big_log(path, count, hits):
+    lines = [f"line {i} {'hit' if i in hits else 'no'} " + "x" * 80 for i in range(count)]
+    path.write_text("\n".join(lines) + "\n")
+    return lines
+
+
+def test_newest_matches_are_read_from_the_end(spark, tmp_path, monkeypatch):
+    """Bytes read do not grow with the file where the matches lie near its end; far ones are found too."""
+    read = []
+
+    def recorded(spark, path, parts, real=growing.read_ranges):
+        read.append(sum(high - low for low, high in parts.values()))
+        return real(spark, path, parts)
+
+    monkeypatch.setattr(growing, "read_ranges", recorded)
+    sizes = []
+    for count in (20_000, 80_000):
+        folder = tmp_path / str(count)
+        folder.mkdir()
+        lines = big_log(folder / "a.log", count, {count - 10 * k for k in range(1, 9)})
+        read.clear()
+        found = growing.grep_newest(spark, str(folder), line_matches("hit"), 5).orderBy("seq").collect()
+        assert [r.line for r in found] == [x for x in lines if "hit" in x][-5:]
+        sizes.append(sum(read))
+    assert sizes == [growing.PROBE_BYTES] * 2
+
+
+@pytest.mark.parametrize("hits", [{0}, {0, 1, 2, 700, 1_500, 2_998, 2_999}, set(), set(range(3_000))])
+def test_newest_matches_like_a_full_search(spark, tmp_path, hits):
+    big_log(tmp_path / "a.log", 3_000, hits)
+    big_log(tmp_path / "b.log", 40, {3})
+    (tmp_path / "empty.log").write_text("")
+    for limit in (1, 4):
+        got = growing.grep_newest(spark, str(tmp_path), line_matches("hit"), limit, block=1_000).collect()
+        full = grep_window(spark, str(tmp_path), line_matches("hit"), limit, None).collect()
+        assert sorted((r.file, r.seq, r.line) for r in got) == sorted((r.file, r.seq, r.line) for r in full)

@@ -1,5 +1,6 @@
 """Streams give what a batch over the same rows gives, restarts included."""
 
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -11,6 +12,7 @@ from opslens.operators.sqltrack import as_deltas, issue_rows, issues_of, merge_i
 from opslens.options import Options
 from opslens.schemas import LOG_LINE, STREAMED_SAMPLE, TIMING_SAMPLE
 from opslens.sources.files import read_lines
+from opslens.sources import growing
 from opslens.sources.growing import GrowingReader, stream_lines
 from opslens.streaming.ingest import (
     group_table,
@@ -277,3 +279,38 @@ def test_requests_close_by_mark_or_silence(spark, tmp_path):
     # The advice is that of the batch that came last, here of b, in time before d.
     for name in ("template", "is_n1", "is_slow", "executions", "worst_n1", "worst_slow_ms"):
         assert got[name] == batch[name]
+
+
+@pytest.mark.parametrize("inodes", [True, False])
+def test_rotated_file_is_read_to_its_end(spark, tmp_path, monkeypatch, inodes):
+    """What was appended between the last look and the rotation is read from the file's new name; without
+    inodes a file is known by its first bytes, however it has grown."""
+    monkeypatch.setattr(growing, "has_inodes", lambda filesystem: inodes)
+    log, reader = tmp_path / "a.log", GrowingReader({"path": str(tmp_path)})
+    seen, offsets = [], {}
+
+    def look():
+        nonlocal offsets
+        end = reader.latestOffset()
+        for part in reader.partitions(offsets, end):
+            for batch in reader.read(part):
+                seen.extend(batch.column("line").to_pylist())
+        offsets = end
+
+    append(log, "one")
+    look()
+    append(log, "two " + "x" * 400)
+    look()
+    append(log, "three", "last without an end", end="")
+    os.rename(log, tmp_path / "a.log.1")
+    append(log, "new one", "new two")
+    look()
+    append(log, "new three")
+    look()
+    assert sorted(x.split(" x")[0] for x in seen) == sorted(["one", "two", "three", "last without an end", "new one", "new two", "new three"])
+
+    again = GrowingReader({"path": str(tmp_path)})  # a restart goes on from the checkpoint
+    append(log, "new four")
+    end = {**offsets, **again.latestOffset()}
+    rows = [x for part in again.partitions(offsets, end) for batch in again.read(part) for x in batch.column("line").to_pylist()]
+    assert rows == ["new four"]
