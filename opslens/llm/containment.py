@@ -138,12 +138,14 @@ def contained(
     fits = F.col("doc_size") * whole >= F.col("size") * share
     keys = ["doc", "mark", "item", "version"]
     candidates = hits.join(own.where("in_sketch"), "shingle").where(fits).select(*keys).distinct()
-    # Verified on the shingles themselves.
-    common = hits.join(own, "shingle").groupBy(*keys, "size")
-    common = common.agg(F.countDistinct("shingle").alias("n_common"))
-    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
-    verified = common.alias("h").join(candidates.alias("c"), same, "left_semi")
-    verified = verified.where(F.col("n_common") * whole >= F.col("size") * share)
+    candidates = stored(candidates, "candidates", True)
+    # Only what the sketches found is verified, on the item's shingles themselves.
+    items = own.drop("in_sketch").withColumnRenamed("item", "its_item").withColumnRenamed("version", "its_version")
+    asked = candidates.join(items, F.col("item").eqNullSafe(F.col("its_item")) & (F.col("version") == F.col("its_version")))
+    held = hits.select(F.col("doc").alias("its_doc"), F.col("mark").alias("its_mark"), F.col("shingle").alias("held"))
+    same = F.col("doc").eqNullSafe(F.col("its_doc")) & (F.col("mark") == F.col("its_mark")) & (F.col("shingle") == F.col("held"))
+    found = asked.join(held, same, "left_semi").groupBy(*keys, "size").agg(F.count("*").alias("n_common"))
+    verified = found.where(F.col("n_common") * whole >= F.col("size") * share)
     match = F.struct((F.col("n_common") / F.col("size")).alias("containment"), "n_common", "size")
     best = verified.groupBy("doc", "item").agg(F.max(match).alias("m"))
     return best.select(

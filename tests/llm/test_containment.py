@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 from helpers import awkward, doc_table, random_texts
 
+from pyspark.sql import functions as F
+
 from opslens.llm import containment
 
 
@@ -82,3 +84,15 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")
     assert containment.contained(doc_table(spark, awkward()), none).collect() == []
     assert containment.contained(doc_table(spark, []), some).collect() == []
+
+
+def test_only_what_the_sketches_find_is_verified(spark, monkeypatch):
+    """An item whose sketch holds nothing is not found, though documents hold all of it."""
+    items = [(1, " ".join(f"a{i}" for i in range(12))), (2, " ".join(f"b{i}" for i in range(12)))]
+    docs = doc_table(spark, [(1, items[0][1]), (2, items[1][1]), (3, items[0][1] + " and " + items[1][1])])
+    tests = spark.createDataFrame(items, "item_id bigint, text string")
+    pairs = lambda: sorted((r.doc_id, r.item_id, r.n_common) for r in containment.contained(docs, tests).collect())
+    assert pairs() == [(1, 1, 8), (2, 2, 8), (3, 1, 8), (3, 2, 8)]
+    real = containment.sketches
+    monkeypatch.setattr(containment, "sketches", lambda rows: real(rows).withColumn("in_sketch", F.col("in_sketch") & (F.col("item") != 2)))
+    assert pairs() == [(1, 1, 8), (3, 1, 8)]
