@@ -6,8 +6,9 @@ exp(tilt * size), cut at CAP, with one tilt per source: the dual of the problem
 tilts and Newton's method solves it, one distributed aggregate per step. Documents enter as counts
 per (source, size), so no step touches more rows than there are different sizes.
 
-Rates become whole copies: cumulated along the sizes, so that sums stay within one copy, and what is
-left over in words is evened out on the smallest sizes.
+Rates become whole copies: cumulated along the sizes, so that sums stay within one copy. What is left
+over in words, such as the fraction of a very long document, is handed on along all sizes from large to
+small, and what is then less than a document's size is evened out on the smallest sizes.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ TOLERANCE = 1e-9
 # Documents of one (source, size) are ranked within this many slices, as a hot one may hold a third
 # of all rows.
 SLICES = 1024
-# The smallest sizes of a source take up what rounding leaves over.
+# The smallest sizes of a source take up what is less than the size of a document after all sizes did.
 EVENED_SIZES = 256
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -123,6 +124,21 @@ def tilts(cells: DataFrame, sources: DataFrame) -> DataFrame:
     return sources.join(state.select(*SOURCE, "mean", "tilt"), SOURCE, "left")
 
 
+def handed_on(rounded: DataFrame, falling: Window) -> DataFrame:
+    """``rounded`` with what is left of the target taken up by the sizes that it covers, the largest
+    first, each as far as it goes between least and most copies."""
+    words = F.sum(F.col("copies") * F.col("size")).over(Window.partitionBy(*SOURCE))
+    left = F.col("target") - words
+    room = F.when(F.col("left") > 0, F.col("most") - F.col("copies")).otherwise(F.col("copies") - F.col("least"))
+    room = F.when(F.col("size") <= F.abs("left"), room * F.col("size")).otherwise(0)
+    before = F.sum("room").over(falling.rowsBetween(Window.unboundedPreceding, -1))
+    share = F.greatest(F.abs("left") - F.coalesce(before, F.lit(0)), F.lit(0.0))
+    moved = F.floor(F.least(F.col("room"), share) / F.col("size")).cast("bigint")
+    given = rounded.withColumn("left", left).withColumn("room", room).withColumn("moved", moved)
+    now = F.col("copies") + F.when(F.col("left") > 0, F.col("moved")).otherwise(-F.col("moved"))
+    return given.withColumn("copies", now).drop("left", "room", "moved")
+
+
 def copies(cells: DataFrame, tilted: DataFrame) -> DataFrame:
     """Per cell: rate, and the copies taken of all its documents together."""
     rate = F.least(F.exp(F.col("tilt") * F.col("size") / F.col("mean")), F.lit(float(CAP)))
@@ -139,7 +155,7 @@ def copies(cells: DataFrame, tilted: DataFrame) -> DataFrame:
     least = (F.col("n") * F.floor("rate")).cast("bigint").alias("least")
     most = (F.col("n") * F.ceil("rate")).cast("bigint").alias("most")
     rounded = rounded.select(*SOURCE, "size", "n", "target", "rate", "copies", "rank", least, most)
-    rounded = stored(rounded, "copies", True)
+    rounded = stored(handed_on(rounded, falling), "copies", True)
     left = rounded.groupBy(*SOURCE).agg(
         (F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("left"),
         # At most EVENED_SIZES cells of a source.

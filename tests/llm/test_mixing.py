@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import defaultdict
@@ -54,6 +55,27 @@ def test_targets_are_met(spark):
     assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, found), key=repr)
 
 
+@pytest.mark.parametrize("longest", [100_000, 1_000_000])
+def test_remainder_of_a_very_long_document(spark, longest):
+    """The long document's fraction is taken by a thousand other sizes."""
+    rows = [(n, "w " * n, "a") for n in range(100, 1100)] + [(1, "v " * longest, "a"), (2, "x " * 1_007_037, "b")]
+    wanted, taken = check(rows, mixing.mixed(doc_table(spark, rows)).collect())
+    assert taken["a"] == pytest.approx(wanted["a"][1], rel=0.001)
+
+
+def test_rates_lie_on_one_curve(spark):
+    """Rates are exp(tilt * size) per source, cut at three: the entropy's optimum."""
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.randrange(1, 200), f"s{i % 3}") for i in range(400)]
+    for source in ("s0", "s1", "s2"):
+        points = [(r.size, r.rate) for r in mixing.mixed(doc_table(spark, rows)).collect() if r.source == source and r.rate < 2.9]
+        tilts = [math.log(rate) / size for size, rate in points]
+        assert max(tilts) - min(tilts) < 1e-9
+        words = sum(size * rate for size, rate in points)
+        if all(r < 2.9 for _, r in points) and len(points) == sum(r[2] == source for r in rows):
+            assert words == pytest.approx(targets(rows)[source][1], rel=1e-6)
+
+
 def test_small_sources_stop_at_three_times(spark):
     rows = [(1, "a b c", "s1"), (2, "d e", "s2"), (3, "w " * 500, "s3"), (4, "v " * 300, "s4")]
     found = mixing.mixed(doc_table(spark, rows)).collect()
