@@ -89,13 +89,14 @@ def template_counts(samples: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
 def with_worst(counts: DataFrame, samples: DataFrame) -> DataFrame:
     """``template_counts`` with url, caller and masked parameters of the execution that took longest.
 
-    These are read for the winners only, by their number, which is unique within a request.
+    These are read for the winners only, by their number in the request; of samples with one number any.
     """
     said = samples.select(
         F.col("request_id").alias("_request"), F.col("seq").alias("_seq"), "url", "caller", "params_json"
     )
-    same = F.col("request_id").eqNullSafe(F.col("_request")) & (F.col("worst_seq") == F.col("_seq"))
+    same = F.col("request_id").eqNullSafe(F.col("_request")) & F.col("worst_seq").eqNullSafe(F.col("_seq"))
     found = counts.join(said, same).drop("_request", "_seq", "worst_seq")
+    found = found.dropDuplicates(["request_id", "template"])
     return found.withColumn("params_json", mask_params("params_json"))
 
 

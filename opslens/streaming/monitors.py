@@ -140,8 +140,12 @@ def endpoint_table(path: str) -> MergedTable:
     return MergedTable(path, ENDPOINT_DELTA, merge_endpoints)
 
 
-def write_endpoints(samples: DataFrame, batch: int, table: MergedTable, opts: Options = DEFAULTS) -> None:
+def write_endpoints(
+    samples: DataFrame, batch: int, table: MergedTable, opts: Options = DEFAULTS, fold_every: int = FOLD_EVERY
+) -> None:
     table.write_batch(endpoint_deltas(with_path_templates(tracked(samples, opts))), batch)
+    if fold_every and (batch + 1) % fold_every == 0:
+        table.fold(samples.sparkSession)
 
 
 def start_endpoints(

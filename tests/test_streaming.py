@@ -241,9 +241,8 @@ def test_endpoints_in_batches(spark, tmp_path):
     df = spark.createDataFrame(items, TIMING_SAMPLE)
     table = endpoint_table(str(tmp_path / "t"))
     for batch in range(3):
-        write_endpoints(df.where(F.floor(F.col("seq") / 30) == batch), batch, table)
-        if batch == 1:
-            table.fold(spark)
+        write_endpoints(df.where(F.floor(F.col("seq") / 30) == batch), batch, table, fold_every=2)
+    assert table.content(spark).fold == 0
     got, whole = endpoint_rows(table.read(spark)).first(), endpoint_stats(df).first()
     assert got.ema_ms == pytest.approx(whole.ema_ms, rel=1e-12)
     assert (got.requests, got.min_ms, got.max_ms, got.last_seen) == (90, 0.0, 16.0, whole.last_seen)
