@@ -18,11 +18,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from .common import shared_path, stored
 
 MIN_REVISIT_BYTES = 1000
-RECORDS_PER_FILE = 10_000
+# An archive takes up to so many records and payload bytes; a larger payload has one to itself.
+RECORDS_PER_FILE, BYTES_PER_FILE = 10_000, 128 << 20
 # The tables have no time of capture.
 DATE = "1970-01-01T00:00:00Z"
 CRLF = "\r\n"
@@ -78,11 +80,25 @@ def record_text(page: str, url: str, body: str, size: str, digest: str, other: s
     )
 
 
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the number of the archive of this task they go to."""
+    number = count = held = 0
+    for batch in batches:
+        numbers = []
+        for size in batch.column("bytes").to_pylist():
+            if count and (count == RECORDS_PER_FILE or held + size > BYTES_PER_FILE):
+                number, count, held = number + 1, 0, 0
+            count, held = count + 1, held + size
+            numbers.append(number)
+        yield batch.append_column("number", pa.array(numbers, pa.int32()))
+
+
 def write_raw(rows: DataFrame, path: str) -> None:
-    """Archives as one gzip stream each, one per task or RECORDS_PER_FILE records."""
+    """Archives as one gzip stream each, at ``path``/number=N, filled one after the other by each task."""
+    dealt = rows.mapInArrow(_dealt, StructType([*rows.schema.fields]).add("number", "int"))
     text = record_text("page", "url", "body", "bytes", "digest", "other")
-    writer = rows.select(text.alias("value")).write.option("lineSep", CRLF * 2)
-    writer.option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    writer = dealt.select(text.alias("value"), "number").write.option("lineSep", CRLF * 2)
+    writer.option("compression", "gzip").partitionBy("number").text(path)
 
 
 def inflated(content: bytes) -> Iterator[bytes]:
@@ -162,7 +178,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-            archive = path.rsplit("/", 1)[-1].split(".")[0] + ".warc.gz"
+            *_, folder, name = path.split("/")
+            archive = f"{name.split('.')[0]}-{folder.removeprefix('number=')}.warc.gz"
             rows, held, offset = [], 0, 0
             for seq, record in enumerate(records(inflated(content.as_py()))):
                 packed = member(record)
@@ -191,7 +208,8 @@ def normalise(spark: SparkSession, raw: str, path: str) -> None:
 
     A file is one task's work from front to back, as its stream has no other entry.
     """
-    files = spark.read.format("binaryFile").load(f"{raw}/*.gz").select("path", "content")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = reader.option("pathGlobFilter", "*.gz").load(raw).select("path", "content")
     rows = files.mapInArrow(_normalise, OUT).sortWithinPartitions("kind", "archive", "seq")
     # The bytes of a member pass as a string that is never looked at.
     lines = rows.select(F.col("value").cast("string").alias("value"), "kind", "archive")

@@ -40,6 +40,23 @@ def test_round_trip(spark):
     assert {r.url for r in found if r.page_id == 5} == {"http://aX: y/5"}
 
 
+def test_archives_are_bounded_in_bytes(spark, monkeypatch):
+    """Pages of a megabyte go to archives of at most three; a page of five has one to itself."""
+    monkeypatch.setattr(warc, "BYTES_PER_FILE", 3 << 20)
+    sizes = [1 << 20] * 7 + [5 << 20] + [1 << 19] * 9
+    rows = [(n, "u", chr(97 + n) * size) for n, size in enumerate(sizes)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    raw, path = shared_path(spark, "raw"), shared_path(spark, "done")
+    warc.write_raw(warc.decided(table, "page_id", "url", "html"), raw)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(raw).select("content").collect()
+    lengths = [len(gzip.decompress(f.content)) for f in files]
+    assert max(lengths) < (5 << 20) + 2000 and sum(x > (3 << 20) + 9000 for x in lengths) == 1 and len(files) <= 8
+    warc.normalise(spark, raw, path)
+    found = warc.read_archives(spark, path).collect()
+    assert sorted((tuple(r)[:5] for r in found), key=repr) == expected(rows)
+    assert len({r.archive for r in found}) == len(files)
+
+
 def test_every_member_is_read_by_itself(spark, monkeypatch):
     monkeypatch.setattr(warc, "RECORDS_PER_FILE", 3)
     raw, path = shared_path(spark, "raw"), shared_path(spark, "done")
