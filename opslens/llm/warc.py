@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 from .common import shared_path, stored
 
@@ -95,7 +95,7 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_raw(rows: DataFrame, path: str) -> None:
     """Archives as one gzip stream each, at ``path``/number=N, filled one after the other by each task."""
-    dealt = rows.mapInArrow(_dealt, StructType([*rows.schema.fields]).add("number", "int"))
+    dealt = rows.mapInArrow(_dealt, StructType([*rows.schema.fields]).add("number", IntegerType()))
     text = record_text("page", "url", "body", "bytes", "digest", "other")
     writer = dealt.select(text.alias("value"), "number").write.option("lineSep", CRLF * 2)
     writer.option("compression", "gzip").partitionBy("number").text(path)
